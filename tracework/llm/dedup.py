@@ -167,7 +167,7 @@ def _linked(ids: np.ndarray, f: np.ndarray, key: np.ndarray, radius: int) -> pa.
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): alternating large and small stars until nothing moves."""
-    edges = edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
+    edges = saved(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
     seen = None
     while True:
         both = edges.unionByName(edges.selectExpr("b a", "a b"))

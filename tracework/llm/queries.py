@@ -1,12 +1,14 @@
 """The subpackage's queries and their SQL, by name."""
 
-from . import decontaminate, dedup, langid, packing
+from . import decontaminate, dedup, langid, packing, pii, quality
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op2_simhash_near_dedup": dedup.query,
     "op6_language_id": langid.query,
+    "op8_pii_sanitisation": pii.query,
     "op9_packing": packing.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
