@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracework.llm import decontaminate, dedup, langid, packing
+from tracework.llm import decontaminate, dedup, langid, packing, pii
 from tracework.llm.storage import saved
 
 
@@ -26,6 +26,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it are generalised or removed; every document stays."""
+    return pii.sanitised_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left."""
     return packing.pack(docs)
@@ -35,6 +40,7 @@ STAGES = [
     ("language", identify_language),
     ("near copies", drop_near_copies),
     ("benchmark", drop_benchmark),
+    ("personal data", sanitise),
     ("packing", pack),
 ]
 
