@@ -1,11 +1,12 @@
 """The subpackage's queries and their SQL, by name."""
 
-from . import decontaminate, dedup, langid, packing, pii, quality
+from . import decontaminate, dedup, langid, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op2_simhash_near_dedup": dedup.query,
     "op6_language_id": langid.query,
+    "op7_toxicity": toxicity.query,
     "op8_pii_sanitisation": pii.query,
     "op9_packing": packing.query,
     "op10_quality": quality.query,
