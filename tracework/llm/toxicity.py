@@ -31,14 +31,18 @@ SEED_Z = 4.5
 SEED_PRECISION = 0.6
 MAX_CLEAN_SEEDS = 50
 WINDOW = 25
-#: Times that a word must stand near a seed, and the PMI in bits from which it is a node.
+#: What a node needs: times near a seed of one kind, distinct seeds of that kind (words of one copied text meet few), and PMI in bits.
 MIN_NEAR = 20
+MIN_SEEDS = 5
 MIN_PMI = 3.0
+#: Times that two nodes must stand together to be joined, and their PMI in bits.
+MIN_EDGE = 3
+MIN_EDGE_PMI = 1.0
 RESTART = 0.3
 STEPS = 30
 #: Polarity is shrunk by this share of the median seed's visits, so that a rarely visited term has little.
 SHRINK = 0.1
-MIN_POLARITY = 0.3
+MIN_POLARITY = 0.2
 
 
 @dataclass
@@ -91,17 +95,18 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             key = np.stack([w.doc.astype(np.uint64), w.hash], axis=1)
             _, first = np.unique(key, axis=0, return_index=True)
-            toxic = np.asarray(block.column("toxic"), bool)[w.doc[first]]
-            yield pa.record_batch([pa.array([w.string(i) for i in first], pa.string()), pa.array(toxic)], ["term", "toxic"])
+            at = pa.array(w.doc[first])
+            yield pa.record_batch([pa.array([w.string(i) for i in first], pa.string()), block.column("toxic").take(at), block.column("copy").take(at)], ["term", "toxic", "copy"])
 
 
 def seeds(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """Toxic and clean seed terms of a labelled sample by the signed root of their log likelihood ratio."""
-    n = {bool(r[0]): r[1] for r in sample.groupBy("toxic").count().toLocalIterator()}
+    """Toxic and clean seed terms of a labelled sample (toxic, copy) by the signed root of their log likelihood ratio, copies left out; precision counts all rows."""
+    n = {bool(r[0]): r[1] for r in sample.where("not copy").groupBy("toxic").count().toLocalIterator()}
     n1, n0 = n.get(True, 0), n.get(False, 0)
     if not n1 or not n0:
         return [], []
-    counts = sample.mapInArrow(_label_counts, "term string, toxic boolean").groupBy("term").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= SEED_DOCS)
+    own = {"a": "toxic and not copy", "b": "not toxic and not copy", "all_a": "toxic", "all_b": "not toxic"}
+    counts = sample.mapInArrow(_label_counts, "term string, toxic boolean, copy boolean").groupBy("term").agg(*(F.count_if(F.expr(x)).alias(c) for c, x in own.items())).where(F.col("a") + F.col("b") >= SEED_DOCS)
     a, b, n = F.col("a"), F.col("b"), float(n1 + n0)
 
     def part(x, row, column):  # one cell of the table word x label: observed times log of observed over expected
@@ -110,36 +115,44 @@ def seeds(sample: DataFrame) -> tuple[list[str], list[str]]:
     has, lacks = a + b, n - a - b
     g = part(a, has, n1) + part(b, has, n0) + part(n1 - a, lacks, n1) + part(n0 - b, lacks, n0)
     z = F.signum(a * n0 - b * n1) * F.sqrt(F.greatest(2 * g, F.lit(0.0)))
-    t = counts.select("term", z.alias("z"), ((a + 0.5) / (has + 1)).alias("precision")).where(F.abs("z") >= 2.0).toPandas().sort_values(["z", "term"])
+    t = counts.select("term", z.alias("z"), ((F.col("all_a") + 0.5) / (F.col("all_a") + F.col("all_b") + 1)).alias("precision")).where(F.abs("z") >= 2.0).toArrow().to_pandas().sort_values(["z", "term"])
     up = t[(t["z"] >= SEED_Z) & (t["precision"] >= SEED_PRECISION)]
     down = t[t["z"] < 0].head(MAX_CLEAN_SEEDS)
     return sorted(up["term"]), sorted(down["term"])
 
 
 def _near(known: np.ndarray, side: np.ndarray, window: int):
-    """Rows (h, near toxic seeds, near clean seeds, in all) of the words that stand near a seed in a partition."""
+    """Rows (h, toxic, clean, toxic_seeds, clean_seeds, n): how often a word stands near seeds of either kind, a bitmap of which, and how often it occurs in a block where it does; h = null has the sums over all words."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "toxic", "clean", "toxic_seeds", "clean_seeds", "n"]
+        mass = np.zeros(3, np.int64)
         for batch in batches:
             for block in blocks(batch):
                 w = words(block.column("text"))
                 at = lookup(known, w.hash)
-                n = len(w.hash)
-                close = []
-                for s in (0, 1):
-                    mark = np.zeros(n + 1, np.int64)
-                    hit = np.flatnonzero((at >= 0) & (side[at] == s))
-                    np.add.at(mark, np.maximum(hit - window, w.ptr[w.doc[hit]]), 1)
-                    np.add.at(mark, np.minimum(hit + window + 1, w.ptr[w.doc[hit] + 1]), -1)
-                    own = np.zeros(n, np.int64)
-                    own[hit] = 1
-                    close.append(np.cumsum(mark)[:n] - own)
-                if not n or not (close[0].any() or close[1].any()):
+                mass[2] += len(w.hash)
+                hit = np.flatnonzero(at >= 0)
+                if not len(hit):
                     continue
-                h, inv = np.unique(w.hash, return_inverse=True)
-                t, c, total = np.bincount(inv, close[0]), np.bincount(inv, close[1]), np.bincount(inv)
-                ok = t + c > 0
-                yield pa.record_batch([pa.array(h[ok].view(np.int64)), pa.array(t[ok].astype(np.int64)), pa.array(c[ok].astype(np.int64)), pa.array(total[ok])], ["h", "toxic", "clean", "n"])
+                low, high = np.maximum(hit - window, w.ptr[w.doc[hit]]), np.minimum(hit + window + 1, w.ptr[w.doc[hit] + 1])
+                size = high - low
+                seed = np.repeat(at[hit], size)
+                place = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(len(seed))
+                other = w.hash[place] != known[seed]
+                h, seed = w.hash[place[other]], seed[other]
+                kind = side[seed]
+                mass[:2] += np.bincount(kind, minlength=2)
+                u, inv = np.unique(h, return_inverse=True)
+                order = np.argsort(inv, kind="stable")
+                begin = np.searchsorted(inv[order], np.arange(len(u)))
+                flag = np.uint64(1) << (seed % 63).astype(np.uint64)
+                flags = [np.bitwise_or.reduceat(np.where(kind == s, flag, np.uint64(0))[order], begin).view(np.int64) if len(u) else np.zeros(0, np.int64) for s in (0, 1)]
+                counts = [np.bincount(inv, kind == s, len(u)).astype(np.int64) for s in (0, 1)]
+                found = lookup(u, w.hash)
+                total = np.bincount(found[found >= 0], minlength=len(u))
+                yield pa.record_batch([pa.array(x) for x in (u.view(np.int64), *counts, *flags, total)], names)
+        yield pa.record_batch([pa.array([x], pa.int64()) for x in (None, int(mass[0]), int(mass[1]), 0, 0, int(mass[2]))], names)
 
     return near
 
@@ -208,44 +221,28 @@ def induce(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, win
     docs = only(docs, "doc_id", "text")
     sample = saved(_labelled(docs, labels, train_rows))
     copies = near_duplicates(sample).select(F.col("doc_id").alias("_copy"))  # else the words of a copied text would look like seeds
-    sample = sample.join(copies, sample["doc_id"] == copies["_copy"], "left_anti")
+    sample = sample.join(F.broadcast(copies), sample["doc_id"] == copies["_copy"], "left").select("text", "toxic", F.col("_copy").isNotNull().alias("copy"))
     toxic, clean = seeds(sample)
     if not toxic:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), [], np.inf)
     h = words(pa.array([*toxic, *clean], pa.string())).hash
     order = np.argsort(h)
     known, side = h[order], np.array([0] * len(toxic) + [1] * len(clean))[order]
-    near = docs.mapInArrow(_near(known, side, window), "h long, toxic long, clean long, n long")
-    near = near.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "n"))).where(F.greatest("toxic", "clean") >= MIN_NEAR)
-    near = saved(near)
-    # the share of all words near a seed bounds what chance gives; n here counts only partitions where the word is near one, so nothing true is lost
-    mass = saved(docs.mapInArrow(_mass(known, side, window), "toxic long, clean long, n long")).agg(F.sum("toxic"), F.sum("clean"), F.sum("n")).first()
+    near = docs.mapInArrow(_near(known, side, window), "h long, toxic long, clean long, toxic_seeds long, clean_seeds long, n long")
+    near = saved(near.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "n")), *(F.bit_or(c).alias(c) for c in ("toxic_seeds", "clean_seeds"))))
+    mass = near.where("h is null").first()
+    # n leaves out blocks where the word is near no seed, so that this bound is met by all words that truly meet it
     bits = 2.0**MIN_PMI
-    kept = [F.col(c) / F.col("n") >= bits * m / mass[2] for c, m in (("toxic", mass[0]), ("clean", mass[1])) if m]
-    chosen = near.where(kept[0] if len(kept) == 1 else kept[0] | kept[1]).where(F.col("n") >= MIN_NEAR).select("h").toPandas()["h"].to_numpy().view(np.uint64) if kept else np.zeros(0, np.uint64)
+    fits = F.lit(False)
+    for kind, there in (("toxic", len(toxic)), ("clean", len(clean))):
+        chance = bits * mass[kind] / max(mass["n"], 1)
+        fits |= (F.col(kind) >= MIN_NEAR) & (F.bit_count(f"{kind}_seeds") >= min(MIN_SEEDS, there)) & (F.col(kind) / F.col("n") >= chance)
+    chosen = near.where(F.col("h").isNotNull() & fits).select("h").toArrow().to_pandas()["h"].to_numpy(np.int64).view(np.uint64)
     nodes = np.unique(np.concatenate([known, chosen]))
-    rows = docs.mapInArrow(_edges(nodes, window), "a long, b long, n long, term string").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("term").alias("term")).toPandas()
+    rows = docs.mapInArrow(_edges(nodes, window), "a long, b long, n long, term string").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("term").alias("term")).where((F.col("b") < 0) | (F.col("n") >= MIN_EDGE)).toArrow().to_pandas()
     return _lexicon(nodes, known, side, rows, window)
 
 
-def _mass(known: np.ndarray, side: np.ndarray, window: int):
-    """How many words stand near each kind of seed, counted once for each seed, and how many there are."""
-
-    def mass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(3, np.int64)
-        for batch in batches:
-            for block in blocks(batch):
-                w = words(block.column("text"))
-                at = lookup(known, w.hash)
-                for s in (0, 1):
-                    hit = np.flatnonzero((at >= 0) & (side[at] == s))
-                    found[s] += (np.minimum(hit + window + 1, w.ptr[w.doc[hit] + 1]) - np.maximum(hit - window, w.ptr[w.doc[hit]]) - 1).sum()
-                found[2] += len(w.hash)
-        yield pa.record_batch([pa.array([int(x)]) for x in found], ["toxic", "clean", "n"])
-
-    return mass
-
-
 def _lexicon(nodes: np.ndarray, known: np.ndarray, side: np.ndarray, rows, window: int) -> Lexicon:
     v = len(nodes)
     terms = [""] * v
@@ -258,7 +255,7 @@ def _lexicon(nodes: np.ndarray, known: np.ndarray, side: np.ndarray, rows, windo
     pair = rows[(rows["b"] >= 0) & (rows["a"] != rows["b"])].sort_values(["a", "b"])
     a, b, n = (pair[c].to_numpy() for c in ("a", "b", "n"))
     ppmi = np.maximum(np.log2(n * total / (2.0 * window * single[a] * single[b])), 0.0) if len(a) else np.zeros(0)
-    strong = ppmi > 0
+    strong = ppmi >= MIN_EDGE_PMI
     a, b, ppmi = a[strong], b[strong], ppmi[strong]
     place = np.searchsorted(nodes, known)
     visits = []
@@ -280,7 +277,7 @@ def calibrated(lexicon: Lexicon, docs: DataFrame, labels: DataFrame, train_rows:
             for block in blocks(batch):
                 yield pa.record_batch([pa.array(lexicon.score(words(block.column("text")), block.num_rows)), block.column("toxic")], ["score", "toxic"])
 
-    t = rows.mapInArrow(scored, "score double, toxic boolean").toPandas().sort_values("score", ascending=False)
+    t = rows.mapInArrow(scored, "score double, toxic boolean").toArrow().to_pandas().sort_values("score", ascending=False)
     score, y = t["score"].to_numpy(), t["toxic"].to_numpy(bool)
     last = np.flatnonzero(np.append(score[1:] != score[:-1], True)) if len(score) else []
     best, lexicon.threshold = -1.0, np.inf
