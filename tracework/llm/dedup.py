@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES,
     unique = saved(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")))
     samples = bit_samples(tables, key_bits)
     if unique.count() * 24 <= broadcast_bytes:
-        t = unique.toPandas().sort_values("doc_id")
+        t = unique.toArrow().to_pandas().sort_values("doc_id")
         held = spark.sparkContext.broadcast((t.doc_id.to_numpy(), np.ascontiguousarray(t[["h1", "h2"]].to_numpy())))
 
         def one_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

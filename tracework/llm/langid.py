@@ -87,7 +87,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     draw = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("r", F.row_number().over(draw)).where(F.col("r") <= train_docs)
     sample = docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").where("lang is not null and text is not null")
-    rows = sample.select("text", "lang").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.select("text", "lang").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(rows["lang"].unique()) if len(rows) else []
     count = np.zeros((len(langs), BUCKETS))
     for i, name in enumerate(langs):

@@ -157,7 +157,7 @@ def disclosures(docs: DataFrame, window: int = WINDOW, min_support: int = MIN_SU
     gain = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_class")))
     held = F.log(F.lit(float(total)) / F.col("n_class"))
     return (
-        near.join(_counts(docs, terms).withColumnRenamed("n", "n_term"), "h")
+        near.join(saved(_counts(docs, terms)).withColumnRenamed("n", "n_term"), "h")
         .join(F.broadcast(classes), "class")
         .select("class", "term", "support", "n_both", "n_term", "n_class", F.when(F.col("n_class") < total, gain / held).otherwise(0.0).alias("disclosure"))
     )

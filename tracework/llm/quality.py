@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> A
             for block in blocks(batch):
                 yield pa.RecordBatch.from_arrays([block.column("quality").cast(pa.float64()), *(pa.array(c) for c in features(block.column("text")).T)], ["quality", *FEATURES])
 
-    t = rows.mapInArrow(measure, f"quality double, {_columns()}").toPandas().sort_values(["quality", *FEATURES])
+    t = rows.mapInArrow(measure, f"quality double, {_columns()}").toArrow().to_pandas().sort_values(["quality", *FEATURES])
     return fit(t[FEATURES].to_numpy(float), (t["quality"].to_numpy() > 0).astype(float))
 
 
