@@ -63,7 +63,7 @@ class Lexicon:
         at = lookup(known, w.hash)
         ok = np.flatnonzero(at >= 0)
         key = np.unique(w.doc[ok] * len(known) + at[ok])
-        return np.bincount(key // len(known), weight[key % len(known)], minlength=n)
+        return np.bincount(key // len(known), weight[key % len(known)], minlength=n).astype(float)  # of nothing, bincount gives integers
 
 
 def lookup(known: np.ndarray, h: np.ndarray) -> np.ndarray:
