@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import saved
@@ -194,7 +195,7 @@ def _one_size(vectors: DataFrame, dim: int, k: int, wave_bytes: int) -> DataFram
                     continue
                 q, qid = _vectors(batch.column("v"), dim), batch.column("id").to_numpy()
                 d, i = np.full((len(q), k), np.inf), np.full((len(q), k), _NONE)
-                old = np.asarray(pa.compute.list_value_length(batch.column("i")))
+                old = np.asarray(pc.list_value_length(batch.column("i")))
                 fill = np.arange(k) < old[:, None]
                 d[fill], i[fill] = np.asarray(batch.column("d").flatten()), np.asarray(batch.column("i").flatten())
                 home = np.concatenate([np.argmin(_distance(q[a : a + 1024], tree.center), axis=1) for a in range(0, len(q), 1024)]) if len(tree.center) else np.zeros(len(q))
