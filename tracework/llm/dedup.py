@@ -105,9 +105,11 @@ def bk_search(f: np.ndarray, items: np.ndarray, queries: np.ndarray, radius: int
 
 def shard_pairs(f: np.ndarray, key: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows with equal keys whose fingerprints are within ``radius``."""
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     k = key[order]
-    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     end = np.append(begin[1:], len(k))
     big = end - begin > LEAF
     for b, e in zip(begin[big], end[big]):
