@@ -83,7 +83,7 @@ def symbol_period(edges: DataFrame, s: Series, t: str = "t_cross") -> DataFrame:
     gaps = gaps.where((F.col("_edges") >= 3) & (F.col("gap") > 0) & ~F.isnan("gap"))
     rank = Window.partitionBy(*s.by).orderBy("gap")
     gaps = gaps.select(*s.by, "gap", (F.row_number().over(rank) - 1).alias("i"), F.lag("gap").over(rank).alias("_before"))
-    breaks = F.min(F.when(F.col("gap") / F.greatest("_before", F.lit(1e-30)) > 1.5, F.col("i")))
+    breaks = F.min(F.when((F.col("i") > 0) & (F.col("gap") / F.greatest("_before", F.lit(1e-30)) > 1.5), F.col("i")))
     size = gaps.groupBy(*s.by).agg(F.coalesce(breaks, F.count("*")).alias("n"))
     placed = join_on(gaps, size, s.by)
     lo, hi = F.floor(F.col("n") / 10), F.floor(F.col("n") * 9 / 10)

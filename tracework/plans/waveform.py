@@ -368,7 +368,7 @@ def schmitt_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{_schmitt("rising")}, gaps AS (
       SELECT event_type, gap, row_number() OVER (PARTITION BY event_type ORDER BY gap) - 1 AS i, lag(gap) OVER (PARTITION BY event_type ORDER BY gap) AS before
       FROM (SELECT event_type, t_cross - lag(t_cross) OVER (PARTITION BY event_type ORDER BY t_cross, row_id) AS gap, count(*) OVER (PARTITION BY event_type) AS edges FROM hit) WHERE edges >= 3 AND gap > 0
-    ), size AS (SELECT event_type, coalesce(min(i) FILTER (WHERE gap / greatest(before, 1e-30) > 1.5), count(*)) AS n FROM gaps GROUP BY event_type)
+    ), size AS (SELECT event_type, coalesce(min(i) FILTER (WHERE i > 0 AND gap / greatest(before, 1e-30) > 1.5), count(*)) AS n FROM gaps GROUP BY event_type)
     SELECT event_type, round(avg(gap), 6) AS ui, CAST(any_value(n) AS BIGINT) AS n_periods FROM gaps JOIN size USING (event_type)
     WHERE CASE WHEN n * 9 // 10 > n // 10 THEN i BETWEEN n // 10 AND n * 9 // 10 ELSE i = n // 2 END GROUP BY event_type""",
 )

@@ -82,7 +82,7 @@ def ingest(spark: SparkSession, path: str, root: str, rows_per_chunk: int = ROWS
     s = Series(by=("recording_id",), chunk="chunk_id")
     chunk_stats(own, s, names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recording_id").parquet(f"{root}/chunk_stats")
     t = F.when(finite("t"), F.col("t"))
-    back = lagged(own, Series(t="row_id", by=("recording_id",), chunk="chunk_id"), "_p", "t").where(F.col("t") < F.col("_p.t"))
+    back = lagged(own.where(finite("t")), Series(t="row_id", by=("recording_id",), chunk="chunk_id"), "_p", "t").where(F.col("t") < F.col("_p.t"))
     told = own.groupBy("recording_id").agg(F.count("*").alias("n_rows"), F.min(t).alias("x_min"), F.max(t).alias("x_max"), (F.max("chunk_id") + 1).alias("n_chunks"))
     if told.isEmpty():
         raise ValueError(f"{path} has no row with {n_cols} fields")
