@@ -3,7 +3,7 @@
 A record's layout is the set of its nested field paths (``messages[].role``).
 The paths that any mapping mentions are sorted and hashed; the fingerprint
 selects one of the declarative mappings, which say where turns, roles and
-contents are.  Tables are fingerprinted by their schema and converted with
+contents are; a mixture of layouts falls to the first that is complete.  Tables are fingerprinted by their schema and converted with
 built-in expressions; columns of JSON records are fingerprinted record by
 record, so that one column may mix layouts.
 """
@@ -81,6 +81,12 @@ def _table() -> dict[str, Mapping]:
 BY_FINGERPRINT = _table()
 
 
+def mapping_for(paths: set[str]) -> Mapping | None:
+    """The mapping that the fingerprint selects; where fields of several layouts are mixed, the first whose needed fields are all there."""
+    exact = BY_FINGERPRINT.get(fingerprint(paths))
+    return exact or next((m for m in MAPPINGS if m.paths() - set(m.optional) <= paths), None)
+
+
 def schema_paths(schema: T.DataType, prefix: str = "") -> set[str]:
     """Nested leaf paths of a Spark type; ``[]`` marks a list."""
     if isinstance(schema, T.StructType):
@@ -122,8 +128,8 @@ def _get(value: object, path: str) -> object:
 
 def record_turns(record: object) -> tuple[str, str | None, list[tuple[str, str]]]:
     """Fingerprint, layout and canonical turns of one record; no layout gives no turns."""
-    print_ = fingerprint(value_paths(record))
-    m = BY_FINGERPRINT.get(print_)
+    paths = value_paths(record)
+    print_, m = fingerprint(paths), mapping_for(paths)
     if m is None or not isinstance(record, dict) or m.rows[0]:
         return print_, None, []
     if m.fields:
@@ -175,7 +181,7 @@ def format_rows(df: DataFrame) -> DataFrame:
     one conversation.  A table of another layout is an error; other columns
     are not read.
     """
-    m = BY_FINGERPRINT.get(fingerprint(schema_paths(df.schema)))
+    m = mapping_for(schema_paths(df.schema))
     if m is None or not m.rows[0]:
         raise ValueError(f"no row layout has the fields of {sorted(schema_paths(df.schema))}")
     key, place = m.rows

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import saved
-from .text import blocks, documents, only, words
+from .text import WORD, blocks, documents, only, words
 
 WINDOW = 8
 MIN_SUPPORT = 5
@@ -47,7 +47,7 @@ ENTITY = re.compile(
     r"|(?P<PHONE>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{3,4}(?![\w]))"
     r"|(?P<ACCOUNT>(?<!\w)\d(?:[ -]?\d){8,18}(?!\w)|\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b)"
 )
-_TERM = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
+_TERM = re.compile(WORD)
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:

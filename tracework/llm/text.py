@@ -2,7 +2,8 @@
 
 Texts arrive as Arrow batches; the kernels work on the UTF-8 buffer with numpy,
 so no per-character or per-word Python runs.  A *word* is a maximal run of
-ASCII letters, digits and non-ASCII bytes of the lower-cased text.
+ASCII letters, digits and non-ASCII characters of the lower-cased text, other
+than the blocks of general, Latin-1 and CJK punctuation.
 """
 
 from __future__ import annotations
@@ -18,12 +19,28 @@ from pyspark.sql import DataFrame, functions as F
 #: Bytes of text one numpy kernel call works on; bounds a worker's memory.
 BLOCK_BYTES = 2 << 20
 
+#: A word as a regular expression.
+WORD = "[0-9A-Za-z\u00c0-\u1fff\u2080-\u2fff\u3040-\U0010ffff]+"
+
 _WORD = np.zeros(256, bool)
 _WORD[[c for c in range(256) if chr(c).isalnum() and c < 128 or c >= 128]] = True
 _POW = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
 _BYTE = ((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(0x94D049BB133111EB)
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to words."""
+    inside = _WORD[data]
+    two = np.flatnonzero(data[:-1] == 0xC2)  # U+0080 to U+00BF
+    inside[two] = inside[two + 1] = False
+    if len(data) > 2:
+        lead, next_ = data[:-2], data[1:-1]
+        three = np.flatnonzero(((lead == 0xE2) & ((next_ & 0xFE) == 0x80)) | ((lead == 0xE3) & (next_ == 0x80)))  # U+2000 to U+207F, U+3000 to U+303F
+        for k in range(3):
+            inside[three + k] = False
+    return inside
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (splitmix) over an array of integers."""
     x = x.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
@@ -81,7 +98,7 @@ def words(texts: pa.Array) -> Words:
     none = np.zeros(0, np.int64)
     if not len(data):
         return Words(np.zeros(0, np.uint64), none, none, none, np.zeros(n + 1, np.int64), data)
-    inside = _WORD[data]
+    inside = word_bytes(data)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     at = off[:-1][off[:-1] < len(data)]
