@@ -1,12 +1,12 @@
 """Toxicity scores from an induced lexicon (operator 7).
 
 Seeds are the terms that the labels mark most strongly as toxic or as clean on
-a bounded labelled sample, in which near copies count once.  Over the whole corpus, the words found near seeds
-more often than chance (positive pointwise mutual information) become nodes of
-a graph whose edges are the positive PMI of two nodes within ``window`` words.
+a bounded labelled sample, in which near copies count once.  Over the whole corpus, the words found near toxic
+seeds more often than chance (positive pointwise mutual information) become,
+with all seeds, the nodes of a graph whose edges are the positive PMI of two nodes within ``window`` words.
 One random walk restarts at the toxic seeds, one at the clean ones; the
-difference of the two visiting frequencies over their sum, shrunk by a share
-of the seeds' visits, is a term's polarity.  A document scores the polarity of its distinct
+difference of the two visiting frequencies over their sum, shrunk by the visits
+that a seed usually has from the others, is a term's polarity.  A document scores the polarity of its distinct
 terms above ``MIN_POLARITY``; the threshold is set on the labelled sample.
 """
 
@@ -31,7 +31,7 @@ SEED_Z = 4.5
 SEED_PRECISION = 0.6
 MAX_CLEAN_SEEDS = 50
 WINDOW = 25
-#: What a node needs: times near a seed of one kind, distinct seeds of that kind (words of one copied text meet few), and PMI in bits.
+#: What a node needs: times near a toxic seed, distinct toxic seeds (words of one copied text meet few), and PMI in bits.
 MIN_NEAR = 20
 MIN_SEEDS = 5
 MIN_PMI = 3.0
@@ -40,9 +40,9 @@ MIN_EDGE = 3
 MIN_EDGE_PMI = 1.0
 RESTART = 0.3
 STEPS = 30
-#: Polarity is shrunk by this share of the median seed's visits, so that a rarely visited term has little.
-SHRINK = 0.1
-MIN_POLARITY = 0.2
+#: Polarity is shrunk by this many times the visits that a seed usually has from the others, so that a rarely visited term has little.
+SHRINK = 2.0
+MIN_POLARITY = 0.4
 
 
 @dataclass
@@ -121,17 +121,17 @@ def seeds(sample: DataFrame) -> tuple[list[str], list[str]]:
     return sorted(up["term"]), sorted(down["term"])
 
 
-def _near(known: np.ndarray, side: np.ndarray, window: int):
-    """Rows (h, toxic, clean, toxic_seeds, clean_seeds, n): how often a word stands near seeds of either kind, a bitmap of which, and how often it occurs in a block where it does; h = null has the sums over all words."""
+def _near(seeds: np.ndarray, window: int):
+    """Rows (h, near, which, n): how often a word stands near seeds, a bitmap of which, and how often it occurs in blocks where it does; h = null has the sums over all words."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "toxic", "clean", "toxic_seeds", "clean_seeds", "n"]
-        mass = np.zeros(3, np.int64)
+        names = ["h", "near", "which", "n"]
+        mass = total = 0
         for batch in batches:
             for block in blocks(batch):
                 w = words(block.column("text"))
-                at = lookup(known, w.hash)
-                mass[2] += len(w.hash)
+                at = lookup(seeds, w.hash)
+                total += len(w.hash)
                 hit = np.flatnonzero(at >= 0)
                 if not len(hit):
                     continue
@@ -139,20 +139,18 @@ def _near(known: np.ndarray, side: np.ndarray, window: int):
                 size = high - low
                 seed = np.repeat(at[hit], size)
                 place = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(len(seed))
-                other = w.hash[place] != known[seed]
+                other = w.hash[place] != seeds[seed]
                 h, seed = w.hash[place[other]], seed[other]
-                kind = side[seed]
-                mass[:2] += np.bincount(kind, minlength=2)
-                u, inv = np.unique(h, return_inverse=True)
-                order = np.argsort(inv, kind="stable")
-                begin = np.searchsorted(inv[order], np.arange(len(u)))
-                flag = np.uint64(1) << (seed % 63).astype(np.uint64)
-                flags = [np.bitwise_or.reduceat(np.where(kind == s, flag, np.uint64(0))[order], begin).view(np.int64) if len(u) else np.zeros(0, np.int64) for s in (0, 1)]
-                counts = [np.bincount(inv, kind == s, len(u)).astype(np.int64) for s in (0, 1)]
+                if not len(h):
+                    continue
+                mass += len(h)
+                order = np.argsort(h, kind="stable")
+                begin = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+                u = h[order][begin]
+                which = np.bitwise_or.reduceat((np.uint64(1) << (seed % 63).astype(np.uint64))[order], begin)
                 found = lookup(u, w.hash)
-                total = np.bincount(found[found >= 0], minlength=len(u))
-                yield pa.record_batch([pa.array(x) for x in (u.view(np.int64), *counts, *flags, total)], names)
-        yield pa.record_batch([pa.array([x], pa.int64()) for x in (None, int(mass[0]), int(mass[1]), 0, 0, int(mass[2]))], names)
+                yield pa.record_batch([pa.array(x) for x in (u.view(np.int64), np.diff(np.append(begin, len(h))), which.view(np.int64), np.bincount(found[found >= 0], minlength=len(u)))], names)
+        yield pa.record_batch([pa.array([x], pa.int64()) for x in (None, mass, 0, total)], names)
 
     return near
 
@@ -203,16 +201,15 @@ def _edges(known: np.ndarray, window: int):
     return edges
 
 
-def walk(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, start: np.ndarray, restart: float = RESTART, steps: int = STEPS) -> np.ndarray:
-    """Visiting frequencies of a random walk on an undirected weighted graph that restarts at ``start``."""
-    src, dst, wt = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
-    out = np.bincount(src, wt, minlength=n)
+def walk(n: int, a: np.ndarray, b: np.ndarray, go: np.ndarray, back: np.ndarray, start: np.ndarray, restart: float = RESTART, steps: int = STEPS) -> np.ndarray:
+    """Visiting frequencies of a random walk that restarts at ``start``: it goes from a to b with probability ``go``, from b to a with ``back``, and else stays."""
+    src, dst, p = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([go, back])
+    stay = 1 - np.bincount(src, p, n)
     p0 = start / start.sum()
-    p = p0
+    at = p0
     for _ in range(steps):
-        flow = np.bincount(dst, p[src] * wt / out[src], minlength=n) if len(src) else np.zeros(n)
-        p = restart * p0 + (1 - restart) * (flow + p[out == 0].sum() * p0)
-    return p
+        at = restart * p0 + (1 - restart) * (at * stay + np.bincount(dst, at[src] * p, n))
+    return at
 
 
 def induce(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, window: int = WINDOW) -> Lexicon:
@@ -228,15 +225,12 @@ def induce(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, win
     h = words(pa.array([*toxic, *clean], pa.string())).hash
     order = np.argsort(h)
     known, side = h[order], np.array([0] * len(toxic) + [1] * len(clean))[order]
-    near = docs.mapInArrow(_near(known, side, window), "h long, toxic long, clean long, toxic_seeds long, clean_seeds long, n long")
-    near = saved(near.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "n")), *(F.bit_or(c).alias(c) for c in ("toxic_seeds", "clean_seeds"))))
+    near = docs.mapInArrow(_near(known[side == 0], window), "h long, near long, which long, n long")
+    near = saved(near.groupBy("h").agg(F.sum("near").alias("near"), F.bit_or("which").alias("which"), F.sum("n").alias("n")))
     mass = near.where("h is null").first()
     # n leaves out blocks where the word is near no seed, so that this bound is met by all words that truly meet it
-    bits = 2.0**MIN_PMI
-    fits = F.lit(False)
-    for kind, there in (("toxic", len(toxic)), ("clean", len(clean))):
-        chance = bits * mass[kind] / max(mass["n"], 1)
-        fits |= (F.col(kind) >= MIN_NEAR) & (F.bit_count(f"{kind}_seeds") >= min(MIN_SEEDS, there)) & (F.col(kind) / F.col("n") >= chance)
+    chance = 2.0**MIN_PMI * mass["near"] / max(mass["n"], 1)
+    fits = (F.col("near") >= MIN_NEAR) & (F.bit_count("which") >= min(MIN_SEEDS, len(toxic))) & (F.col("near") / F.col("n") >= chance)
     chosen = near.where(F.col("h").isNotNull() & fits).select("h").toArrow().to_pandas()["h"].to_numpy(np.int64).view(np.uint64)
     nodes = np.unique(np.concatenate([known, chosen]))
     rows = docs.mapInArrow(_edges(nodes, window), "a long, b long, n long, term string").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("term").alias("term")).where((F.col("b") < 0) | (F.col("n") >= MIN_EDGE)).toArrow().to_pandas()
@@ -246,7 +240,7 @@ def induce(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, win
 def _lexicon(nodes: np.ndarray, known: np.ndarray, side: np.ndarray, rows, window: int) -> Lexicon:
     v = len(nodes)
     terms = [""] * v
-    single = np.zeros(v)
+    single = np.ones(v)
     own = rows[rows["b"] == -1]
     single[own["a"].to_numpy()] = own["n"].to_numpy()
     for i, t in zip(own["a"], own["term"]):
@@ -256,16 +250,22 @@ def _lexicon(nodes: np.ndarray, known: np.ndarray, side: np.ndarray, rows, windo
     a, b, n = (pair[c].to_numpy() for c in ("a", "b", "n"))
     ppmi = np.maximum(np.log2(n * total / (2.0 * window * single[a] * single[b])), 0.0) if len(a) else np.zeros(0)
     strong = ppmi >= MIN_EDGE_PMI
-    a, b, ppmi = a[strong], b[strong], ppmi[strong]
+    a, b, n, ppmi = a[strong], b[strong], n[strong], ppmi[strong]
+    # a step's probability: the other word's share of the word's contexts, by how far it beats chance; contexts outside the graph keep the walk where it is
+    flow = n * ppmi / max(ppmi.max(initial=0.0), 1.0) / (2.0 * window)
+    go, back = flow / single[a], flow / single[b]
+    out = np.maximum(np.bincount(a, go, v) + np.bincount(b, back, v), 1.0)
+    go, back = go / out[a], back / out[b]
     place = np.searchsorted(nodes, known)
     visits = []
     for s in (0, 1):
         start = np.zeros(v)
         start[place[side == s]] = 1
-        visits.append(walk(v, a, b, ppmi, start) if start.any() else np.zeros(v))
+        visits.append(walk(v, a, b, go, back, start) if start.any() else np.zeros(v))
     t, c = visits
-    seed_mass = np.median(t[place[side == 0]])
-    return Lexicon(nodes, (t - c) / (t + c + SHRINK * seed_mass), terms)
+    came = np.bincount(b, t[a] * go, v) + np.bincount(a, t[b] * back, v)
+    usual = np.median(came[place[side == 0]]) * (1 - RESTART) / RESTART  # what a toxic term gets from the others
+    return Lexicon(nodes, (t - c) / (t + c + SHRINK * usual + 1e-30), terms)
 
 
 def calibrated(lexicon: Lexicon, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lexicon:
