@@ -40,6 +40,8 @@ WINDOWS_PER_WORKER = 4096
 ROUNDS = 3
 BATCH = 64
 RATE = 0.01
+#: Nodes next to the root that are computed for all states by one product; deeper ones only where a path needs them.
+BUSY_NODES = 128
 #: Windows that one pass of the batched attention holds.
 SCORE_BATCH = 128
 _BLOCK = 1 << 14
@@ -83,8 +85,15 @@ def huffman(ids: np.ndarray, count: np.ndarray) -> Tree:
             turn.append(side[at])
             at = parent[at]
         ptr.append(len(node))
-    share = (right[v:top] + 0.5) / (total[v:top] + 1)
-    return Tree(word, np.array(ptr), np.array(node, np.int64), np.array(turn, np.float32), np.log(share / (1 - share)).astype(np.float32))
+    share = ((right[v:top] + 0.5) / (total[v:top] + 1))[::-1]
+    node = top - v - 1 - np.array(node, np.int64)  # the busiest nodes, those near the root, first
+    return Tree(word, np.array(ptr), node, np.array(turn, np.float32), np.log(share / (1 - share)).astype(np.float32))
+
+
+def _scattered(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values [m, d] with equal rows, as [n, d]."""
+    d = values.shape[1]
+    return np.bincount((row[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d)
 
 
 class Model:
@@ -118,13 +127,14 @@ class Model:
         t = x.shape[1]
         h0 = w["e"][x] + w["p"][:t]
         q, k, u = h0 @ (w["q"] / np.float32(self.d**0.5)), h0 @ w["k"], h0 @ w["u"]
-        s = q @ k.transpose(0, 2, 1)
-        s += np.triu(np.full((t, t), -1e9, np.float32), 1)
-        s -= s.max(-1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        c = s @ u
-        return h0 + c @ w["o"], (h0, q, k, u, s, c)
+        e = q @ k.transpose(0, 2, 1)
+        np.clip(e, -60, 60, out=e)  # far from what a float holds, so no maximum has to be taken off
+        np.exp(e, out=e)
+        e *= np.tri(t, dtype=np.float32)
+        c = e @ np.concatenate([u, np.ones((*u.shape[:2], 1), u.dtype)], axis=2)  # the last column sums the weights
+        total = c[..., -1:]
+        c = c[..., :-1] / total
+        return h0 + c @ w["o"], (h0, q, k, u, e, total, c)
 
     def losses(self, h: np.ndarray, y: np.ndarray, tree: Tree) -> tuple[np.ndarray, tuple]:
         """-log p of each word y given its state h, and what the gradient needs."""
@@ -133,38 +143,45 @@ class Model:
         total = int(n.sum())
         path = np.repeat(tree.ptr[y] - begin, n) + np.arange(total)
         node, turn, row = tree.node[path], tree.turn[path], np.repeat(np.arange(len(y)), n)
-        z = np.einsum("ij,ij->i", h[row], self.part["n"][node]) + self.part["b"][node]
+        busy = min(BUSY_NODES, len(self.part["b"]))
+        all_busy = h @ self.part["n"][:busy].T
+        z = all_busy.ravel()[row * busy + np.minimum(node, busy - 1)]
+        deep = np.flatnonzero(node >= busy)
+        z[deep] = np.einsum("ij,ij->i", h[row[deep]], self.part["n"][node[deep]])
+        z += self.part["b"][node]
         z *= -turn
         loss = np.log(np.exp(np.minimum(z, 80)) + 1)
-        out = np.bincount(row, loss, minlength=len(y)) if total else np.zeros(len(y))
+        out = np.add.reduceat(loss, begin, dtype=np.float64) if total and n.min() else np.zeros(len(y))
         return out, (node, turn, row, z, begin, n)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, ok: np.ndarray, tree: Tree) -> tuple[Model, float]:
         """Gradient of the mean loss over the positions ``ok`` of windows x [B, T] with targets y [B, T]."""
         w, g = self.part, Model(self.v, self.d, self.t)
-        h, (h0, q, k, u, a, c) = self.hidden(x)
+        h, (h0, q, k, u, e, total, c) = self.hidden(x)
+        a = e / total
         rows = h[ok]
         loss, (node, turn, row, z, begin, n) = self.losses(rows, y[ok], tree)
         scale = np.float32(1 / max(1, len(loss)))
         dz = -turn / (1 + np.exp(-z)) * scale
-        np.add.at(g.part["n"], node, dz[:, None] * rows[row])
-        np.add.at(g.part["b"], node, dz)
+        g.part["n"] += _scattered(node, dz[:, None] * rows[row], len(g.part["n"]))
+        g.part["b"] += np.bincount(node, dz, len(g.part["b"]))
         dh = np.zeros_like(h)
         back = np.zeros_like(rows)
         has = n > 0
         if has.any():
             back[has] = np.add.reduceat(dz[:, None] * w["n"][node], begin[has], axis=0)
         dh[ok] = back
-        g.part["o"] += np.einsum("btd,bte->de", c, dh)
+        d = self.d
+        g.part["o"] += c.reshape(-1, d).T @ dh.reshape(-1, d)
         dc = dh @ w["o"].T
         da = dc @ u.transpose(0, 2, 1)
         du = a.transpose(0, 2, 1) @ dc
         ds = a * (da - (da * a).sum(-1, keepdims=True))
         dq, dk = ds @ k / np.float32(self.d**0.5), ds.transpose(0, 2, 1) @ q
         dx = dh + dq @ w["q"].T + dk @ w["k"].T + du @ w["u"].T
-        for name, d in (("q", dq), ("k", dk), ("u", du)):
-            g.part[name] += np.einsum("btd,bte->de", h0, d)
-        np.add.at(g.part["e"], x, dx)
+        for name, own in (("q", dq), ("k", dk), ("u", du)):
+            g.part[name] += h0.reshape(-1, d).T @ own.reshape(-1, d)
+        g.part["e"] += _scattered(x.ravel(), dx.reshape(-1, d), len(g.part["e"]))
         g.part["p"][: x.shape[1]] += dx.sum(0)
         return g, float(loss.mean()) if len(loss) else 0.0
 
