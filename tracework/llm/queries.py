@@ -17,6 +17,7 @@ QUERIES = {
 
 #: The others score, fit, group or tokenise beyond SQL; their tests hold them against brute-force versions.
 ORACLE_SQL = {
+    "op1_decontamination": decontaminate.ORACLE,
     "op3_mtree_top_k": topk.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
 }
