@@ -86,16 +86,15 @@ def envelope(df: DataFrame, s: Series, stride: int | None = None, max_points: in
         df = join_on(df, df.groupBy(*s.by).agg(F.count("*").alias("_rows")), s.by)
         width = stride_for(F.col("_rows"), max_points)
     v = F.col(s.v)
-    df = df.select(*s.by, s.t, s.row, v.alias("_v"), "_rn", F.floor((F.col("_rn") - 1) / width).alias("_bin"))
+    df = df.select(*s.by, s.t, s.row, v.alias("_v"), F.floor((F.col("_rn") - 1) / width).alias("_bin"), ((F.col("_rn") - 1) % width == 0).alias("_opens"))
     real = F.when(~F.isnan("_v"), F.col("_v"))
-    bins = df.groupBy(*s.by, "_bin").agg(
-        F.min_by(F.struct(s.t, s.row, "_v"), "_rn").alias("_first"), F.min(real).alias("_low"), F.max(real).alias("_high")
-    )
-    blank = F.col("_first._v").isNull() | F.isnan("_first._v")
-    low = F.when(blank, F.col("_first._v")).otherwise(F.col("_low"))
+    opening = lambda c: F.max(F.when(F.col("_opens"), F.col(c)))  # noqa: E731  (of one row: aggregates of plain numbers are hashed, not sorted)
+    bins = df.groupBy(*s.by, "_bin").agg(opening(s.t).alias(s.t), opening(s.row).alias(s.row), opening("_v").alias("_first"), F.min(real).alias("_low"), F.max(real).alias("_high"))
+    blank = F.col("_first").isNull() | F.isnan("_first")
+    low = F.when(blank, F.col("_first")).otherwise(F.col("_low"))
     high = F.when(~blank & (F.col("_high") > F.col("_low")), F.col("_high"))
     pair = F.array(F.struct(F.lit(True).alias("is"), low.alias("v")), F.struct(high.isNotNull().alias("is"), high.alias("v")))
-    points = bins.select(*s.by, F.col(f"_first.{s.t}").alias(s.t), F.col(f"_first.{s.row}").alias(s.row), F.posexplode(pair).alias("point", "_p"))
+    points = bins.select(*s.by, s.t, s.row, F.posexplode(pair).alias("point", "_p"))
     return points.where("_p.is").select(*s.by, s.row, "point", s.t, F.col("_p.v").alias(s.v))
 
 

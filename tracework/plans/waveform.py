@@ -9,17 +9,19 @@ series of equal length.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..frame import Series, chunked, numbered
 from ..functions import units
 from ..operators import align, density, edges, eye, mathch, measure, scan, spectrum, stats, threshold
-from ..sources import codec
+from ..sources import codec, ingest
 from ..sources.export import export_rows
 from ..streaming.windows import windowed_stats
 
 A, B = 100_000.0, 2_000_000.0
+EPOCH = datetime(2024, 1, 1)
 LEVEL = 50.0
 WHOLE = Series()
 TYPED = Series(by=("event_type",))
@@ -35,9 +37,12 @@ EV = """WITH ev AS (
 )"""
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, event_type, t, v, k)"""
+def events(spark: SparkSession, sf_dir: str, span: tuple[float, float] | None = None) -> DataFrame:
+    """(row_id, event_type, t, v, k); a span in seconds, widened by one on either side, prunes the files by their own timestamps."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if span:
+        low, high = (EPOCH + timedelta(seconds=x) for x in (span[0] - 1, span[1] + 1))
+        raw = raw.where(F.col("ts").between(F.lit(low.isoformat(" ")).cast("timestamp_ntz"), F.lit(high.isoformat(" ")).cast("timestamp_ntz")))
     t = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))") / 1e6
     return raw.select(F.col("event_id").alias("row_id"), "event_type", t.alias("t"), F.col("value").alias("v"), F.get_json_object("props", "$.k").cast("double").alias("k"))
 
@@ -80,23 +85,24 @@ def _rounded_stats(df: DataFrame, *keys: str) -> DataFrame:
 
 @query("range_stats", f"{EV} SELECT event_type, {_STATS} FROM ev WHERE t BETWEEN {A} AND {B} GROUP BY event_type HAVING count(v) >= 2")
 def range_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_stats(stats.range_stats(events(spark, sf_dir), TYPED, A, B), "event_type")
+    return _rounded_stats(stats.range_stats(events(spark, sf_dir, (A, B)), TYPED, A, B), "event_type")
 
 
 @query("time_range", f"{EV} SELECT row_id, event_type, t, v FROM ev WHERE t BETWEEN {A} AND {B}")
 def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.time_range(events(spark, sf_dir), TYPED, A, B).select("row_id", "event_type", "t", "v")
+    return scan.time_range(events(spark, sf_dir, (A, B)), TYPED, A, B).select("row_id", "event_type", "t", "v")
 
 
 @query("cursor_range", f"{EV} SELECT row_id, t, v FROM ev WHERE t BETWEEN {A} AND 1500000.0")
 def cursor_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = scan.cursor_range((A, B), (1_500_000.0, 50_000.0))
-    return scan.time_range(events(spark, sf_dir), WHOLE, a, b).select("row_id", "t", "v")
+    return scan.time_range(events(spark, sf_dir, (a, b)), WHOLE, a, b).select("row_id", "t", "v")
 
 
 @query("go_to_time", f"{EV} SELECT row_id, t, v FROM ev WHERE t BETWEEN 50000.0 AND 1950000.0")
 def go_to_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.time_range(events(spark, sf_dir), WHOLE, *scan.go_to((A, B), 1_000_000.0)).select("row_id", "t", "v")
+    view = scan.go_to((A, B), 1_000_000.0)
+    return scan.time_range(events(spark, sf_dir, view), WHOLE, *view).select("row_id", "t", "v")
 
 
 @query("channels", f"{EV} SELECT row_id, t, k FROM ev")
@@ -319,7 +325,7 @@ def pulse_reference_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("measurements", f"{_pulse_sql('>=').replace('FROM events', f'FROM events WHERE (epoch_us(ts) - epoch_us(TIMESTAMP ' + chr(39) + '2024-01-01 00:00:00' + chr(39) + f')) / 1e6 BETWEEN {A} AND {B}').replace('FROM m LEFT', 'FROM m JOIN (SELECT event_type, ' + _STATS + ' FROM ev GROUP BY event_type) st USING (event_type) LEFT').replace('SELECT event_type, round(period', 'SELECT event_type, vmin, vmax, mean, rms, vpp, st.n, round(period')}")
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _rounded_pulse(measure.measurements(events(spark, sf_dir), TYPED, A, B))
+    out = _rounded_pulse(measure.measurements(events(spark, sf_dir, (A, B)), TYPED, A, B))
     return out.withColumns({c: r(c) for c in ("mean", "rms", "vpp")})
 
 
@@ -567,7 +573,7 @@ def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("export_rows", f"{EV} SELECT row_id, t, v FROM ev WHERE t BETWEEN {A} AND 300000.0")
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = export_rows(events(spark, sf_dir), WHOLE, ["v"], A, 300_000.0)
+    rows = export_rows(events(spark, sf_dir, (A, 300_000.0)), WHOLE, ["v"], A, 300_000.0)
     return rows.select("row_id", F.col("column_1").cast("double").alias("t"), F.col("column_2").cast("double").alias("v"))
 
 
@@ -575,3 +581,17 @@ def export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, s = by_rows(spark, sf_dir)
     return codec.decoded(codec.encoded(df, s), s)
+
+
+@query(
+    "parsed_lines",
+    f"""{EV} SELECT row_id, round(t, 6) AS t, CASE WHEN row_id % 7 = 0 THEN -1.0::DOUBLE ELSE v END AS ch0, CASE WHEN row_id % 5 = 0 THEN -1.0::DOUBLE ELSE k END AS ch1 FROM ev WHERE row_id % 10 NOT IN (3, 4)""",
+)
+def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lines with ragged rows, empty fields, quotes and words, parsed as a file's would be."""
+    n = F.col("row_id")
+    first = F.when(n % 7 == 0, F.lit("volts")).when(n % 2 == 0, F.format_string(' "%s" ', F.col("v"))).otherwise(F.col("v").cast("string"))
+    line = F.concat_ws(",", F.col("t").cast("string"), first, F.when(n % 5 == 0, F.lit("")).otherwise(F.col("k").cast("string")))
+    line = F.when(n % 10 == 3, F.concat(line, F.lit(",1"))).when(n % 10 == 4, F.lit("1,2")).otherwise(line)
+    rows = ingest.parse_lines(events(spark, sf_dir).select("row_id", line.alias("value")), 3, ["row_id"]).where("_ok")
+    return rows.select("row_id", r("t").alias("t"), F.nanvl("ch0", F.lit(-1.0)).alias("ch0"), F.nanvl("ch1", F.lit(-1.0)).alias("ch1"))

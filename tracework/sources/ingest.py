@@ -10,6 +10,7 @@ Under a root folder lie three tables:
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -44,11 +45,11 @@ def number(field: Column) -> Column:
     return F.coalesce(F.when(text.rlike(_NUMBER), text.try_cast("double")), F.lit(float("nan")))
 
 
-def parsed(spark: SparkSession, path: str, n_cols: int) -> DataFrame:
-    """(_block, _at, _ok, t, ch0, ..): all lines that are not blank; ``_ok`` is false where the number of fields differs."""
-    split = lines(spark, path).where("value <> ''").withColumn("_f", F.split("value", ",", -1))
+def parse_lines(text: DataFrame, n_cols: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(.., _ok, t, ch0, ..) of the lines in ``value`` that are not blank; ``_ok`` is false where the number of fields differs."""
+    split = text.where("value <> ''").withColumn("_f", F.split("value", ",", -1))
     names = ["t", *(f"ch{i}" for i in range(n_cols - 1))]
-    return split.select("_block", "_at", (F.size("_f") == n_cols).alias("_ok"), *(number(F.get("_f", F.lit(i))).alias(n) for i, n in enumerate(names)))
+    return split.select(*keep, (F.size("_f") == n_cols).alias("_ok"), *(number(F.get("_f", F.lit(i))).alias(n) for i, n in enumerate(names)))
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
@@ -69,7 +70,7 @@ def ingest(spark: SparkSession, path: str, root: str, rows_per_chunk: int = ROWS
         raise ValueError(f"{path} has {n_cols} columns; a time and a channel are needed")
     name = recording_id(path)
     staged = f"{root}/_staging/{name}"
-    parsed(spark, path, n_cols).write.mode("overwrite").parquet(staged)  # once: places in the file must not change between jobs
+    parse_lines(lines(spark, path), n_cols, ["_block", "_at"]).write.mode("overwrite").parquet(staged)  # once: places in the file must not change between jobs
     rows = spark.read.parquet(staged)
     names = [f"ch{i}" for i in range(n_cols - 1)]
     place = Series(t="_at", row="_at", chunk="_block")
