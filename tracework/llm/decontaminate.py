@@ -17,9 +17,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .text import _WORD, blocks, documents, only, utf8
+from .text import blocks, documents, only, utf8, word_bytes
 
 NGRAM = 8
 MIN_WORDS = 4
@@ -34,7 +34,7 @@ def normalised(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarr
     """The block's normalised bytes (each word followed by one space), their places in the lower-cased bytes, the text each place belongs to, those bytes, and the texts' offsets."""
     texts = pc.binary_join_element_wise(pc.fill_null(texts, "").cast(pa.large_string()), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
     data, off = utf8(texts)
-    inside = _WORD[data]
+    inside = word_bytes(data)
     keep = inside.copy()
     keep[1:] |= inside[:-1]
     at = np.flatnonzero(keep)
@@ -62,6 +62,23 @@ def patterns(items: Sequence[tuple[int, str | None]], ngram: int = NGRAM, min_wo
     return found
 
 
+def slices_of(benchmark: DataFrame, ngram: int = NGRAM, min_words: int = MIN_WORDS, columns: Sequence[str] = ("text",)) -> list[dict]:
+    """The patterns of a benchmark, in as many parts as their size asks for; one part at least."""
+    rows = sorted((r[0], x or "") for r in only(benchmark, "item_id", *columns).toLocalIterator() if r[0] is not None for x in r[1:])
+    slices: list[dict] = [{}]
+    size, last = 0, None
+    for item, text in rows:
+        if size > SLICE_BYTES and item != last:  # an item stays whole, so that its windows can be merged
+            slices.append({})
+            size = 0
+        last = item
+        for pattern, (k, ids) in patterns([(item, text)], ngram, min_words).items():
+            held = slices[-1].setdefault(pattern, (k, []))[1]
+            held += [i for i in ids if i not in held]
+            size += len(pattern)
+    return slices
+
+
 def _automaton(key: str, held: dict[str, tuple[int, list[int]]]) -> tuple[ahocorasick.Automaton, list]:
     if key not in _built:
         _built.clear()
@@ -91,14 +108,12 @@ def spans(doc_ids: np.ndarray, texts: pa.Array, automaton: ahocorasick.Automaton
     d, i, b, e = d[order], i[order], b[order], e[order]
     new = np.append(True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] > e[:-1]))
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(d)) - 1
     d, i, b, e = d[first], i[first], b[first], np.maximum.reduceat(e, first)
     begins = (data & 0xC0) != 0x80
     chars = np.concatenate(([0], np.cumsum(begins)))  # characters before each byte
     start = chars[at[b]] - chars[off[d]]
     stop = chars[at[e - 1] + 1] - chars[off[d]]
     spaces = np.concatenate(([0], np.cumsum(np.frombuffer(norm, np.uint8) == 32)))
-    del last
     return {"doc_id": doc_ids[d], "item_id": i, "start": start, "end": stop, "n_words": (spaces[e + 1] - spaces[b]).astype(np.int32)}
 
 
@@ -114,18 +129,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    rows = [(r[0], x) for r in only(benchmark, "item_id", *columns).toLocalIterator() for x in r[1:]]
-    found = patterns(rows, ngram, min_words)
-    slices: list[dict] = [{}]
-    size = 0
-    for text, ids in found.items():
-        if size + len(text) > SLICE_BYTES:
-            slices.append({})
-            size = 0
-        slices[-1][text] = ids
-        size += len(text)
     hits = None
-    for part in slices:
+    for part in slices_of(benchmark, ngram, min_words, columns):
         held, key = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
@@ -143,10 +148,54 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that hold a passage of a test item; rows with a null ``doc_id`` stay."""
-    hit = contaminated_spans(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
+    """The rows that hold no passage of a test item, with the columns they came with; texts are filtered where they are, without a join."""
+    for part in slices_of(benchmark):
+        held, key = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
+
+        def keep(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
+            automaton, values = _automaton(key, held.value) if held.value else (None, [])
+            for batch in batches:
+                for block in blocks(batch):
+                    hit = spans(np.arange(block.num_rows), block.column("text"), automaton, values) if automaton else {}
+                    ok = np.ones(block.num_rows, bool)
+                    ok[hit.get("doc_id", np.zeros(0, int))] = False
+                    yield block.filter(pa.array(ok))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return contaminated_spans(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_SQL_WORD = "[0-9A-Za-z\\x{c0}-\\x{1fff}\\x{2080}-\\x{2fff}\\x{3040}-\\x{10ffff}]+"
+
+
+def _sql_words(table: str, key: str) -> str:
+    """(key, i, word, start, end) of a table's distinct texts, by the lengths of the words and of what lies between them."""
+    return f"""SELECT {key}, i, word, upto - length(word) AS start, upto AS "end", n FROM (
+      SELECT *, sum(length(between_) + length(word)) OVER (PARTITION BY {key}, text ORDER BY i) AS upto FROM (
+        SELECT {key}, text, unnest(ws) AS word, unnest(ss[1:len(ws)]) AS between_, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM (
+          SELECT {key}, text, regexp_extract_all(lower(text), '{_SQL_WORD}') AS ws, regexp_split_to_array(lower(text), '{_SQL_WORD}') AS ss
+          FROM (SELECT DISTINCT {key}, text FROM {table} WHERE {key} IS NOT NULL AND text IS NOT NULL))))"""
+
+
+def _sql_grams(words: str, key: str) -> str:
+    """Windows of MIN_WORDS to NGRAM words."""
+    part = f"OVER (PARTITION BY {key} ORDER BY i)"
+    return " UNION ALL ".join(
+        f"""SELECT {key}, i, n, {k} AS k, start, lead("end", {k - 1}) {part} AS "end", concat_ws(' ', {", ".join(["word", *(f"lead(word, {j}) {part}" for j in range(1, k))])}) AS gram, lead(word, {k - 1}) {part} AS last FROM {words}"""
+        for k in range(MIN_WORDS, NGRAM + 1)
+    )
+
+
+ORACLE = f"""
+WITH dw AS ({_sql_words("documents", "doc_id")}), bw AS ({_sql_words("benchmark", "item_id")}),
+b AS (SELECT DISTINCT item_id, k, gram FROM ({_sql_grams("bw", "item_id")}) WHERE last IS NOT NULL AND k = least(n, {NGRAM})),
+d AS (SELECT * FROM ({_sql_grams("dw", "doc_id")}) WHERE last IS NOT NULL AND k IN (SELECT k FROM b)),
+hit AS (SELECT doc_id, item_id, d.k, i, start, "end", CASE WHEN i <= lag(i) OVER w + d.k - 1 THEN 0 ELSE 1 END AS fresh FROM d JOIN b USING (gram, k) WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY i)),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM hit)
+SELECT doc_id, item_id, CAST(min(start) AS BIGINT) AS start, CAST(max("end") AS BIGINT) AS "end", CAST(max(i) - min(i) + any_value(k) AS INTEGER) AS n_words
+FROM run GROUP BY doc_id, item_id, g
+"""
