@@ -228,6 +228,17 @@ def test_clock(df, polarity):
     same(got, {k: [(t,) for t in loops.clock(p, polarity)] for k, p in series.items()})
 
 
+def test_alignment_does_not_depend_on_chunks(spark):
+    series = {k: SERIES[k] for k in (0, 1, 24)}
+    frame, cut = table(spark, series, 7), replace(S, chunk="chunk")
+    left = spark.createDataFrame([(k, i, float(t)) for k in series for i, t in enumerate(np.linspace(-3, 80, 60))], "series long, row_id long, t double")
+    assert sorted(map(str, align.nearest(left, frame, cut).collect())) == sorted(map(str, align.nearest(left, frame, S).collect()))
+    assert sorted(map(str, edges.fixed_triggers(frame, cut, 2.0).collect())) == sorted(map(str, edges.fixed_triggers(frame, S, 2.0).collect()))
+    clock = table(spark, {k: SERIES[k + 2 if k < 24 else 29] for k in series}, 7)
+    found = [sorted(map(str, eye.triggers(frame, s, 2.0, clock=clock).collect())) for s in (cut, S)]
+    assert found[0] == found[1] and found[0]
+
+
 def test_nearest(spark):
     samples = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (2.0, 0.0), (4.0, 0.0)]
     times = [-5.0, 0.0, 0.4, 0.5, 0.6, 1.0, 1.5, 3.0, 3.1, 4.0, 99.0]

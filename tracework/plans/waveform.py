@@ -408,10 +408,6 @@ _SIGNAL = "sig AS (SELECT row_id, t, v FROM ev WHERE event_type <> 'error')"
 def clock_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, s = by_time(spark, sf_dir)
     clock = edges.clock_crossings(df.where("event_type = 'error'"), s)
-    # a crossing lies before its row and may belong to the chunk before: chunks are told from its own time
-    span = df.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    place = F.least(F.floor((F.col("t") - F.col("a")) / (F.col("b") - F.col("a")) * 64), F.lit(63)).cast("int")
-    clock = clock.crossJoin(F.broadcast(span)).withColumn("chunk_id", place).drop("a", "b")
     out = align.nearest(clock, df.where("event_type <> 'error'"), s)
     return out.select("left_id", r("left_t").alias("left_t"), "row_id", "t")
 
