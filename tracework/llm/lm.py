@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -291,11 +290,9 @@ def fitted(tokens: DataFrame, every: int = SAMPLE_EVERY, per_worker: int = WINDO
             yield pa.record_batch([pa.array(np.arange(len(at))), pa.array([float(t.num_rows)] * len(at)), pa.array([own.flat[i : i + _BLOCK].tobytes() for i in at], pa.binary())], ["block", "weight", "part"])
 
         def mean(group: pa.Table) -> pa.Table:
-            weight = np.asarray(group.column("weight"))
-            total = np.zeros(len(group.column("part")[0].as_py()) // 4)
-            for w, part in zip(weight, group.column("part")):
-                total += w * np.frombuffer(part.as_py(), np.float32)
-            return pa.table({"block": group.column("block").slice(0, 1), "part": pa.array([(total / weight.sum()).astype(np.float32).tobytes()], pa.binary())})
+            parts = sorted(zip(group.column("part").to_pylist(), group.column("weight").to_pylist()))  # in one order, so that a rerun sums alike
+            total = sum(w * np.frombuffer(part, np.float32).astype(float) for part, w in parts) / sum(w for _, w in parts)
+            return pa.table({"block": group.column("block").slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
         done = shared.repartition(workers, "key").mapInArrow(work, "block long, weight double, part binary").groupBy("block").applyInArrow(mean, "block long, part binary").toArrow().to_pandas().sort_values("block")
         model = Model(len(tree.ptr) - 1, flat=np.frombuffer(b"".join(done["part"]), np.float32).copy())
