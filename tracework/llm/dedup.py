@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -233,7 +232,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES,
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents without their near copies; of rows that repeat a ``doc_id`` one stays, rows with a null one all stay."""
-    copies = near_duplicates(docs).select(F.col("doc_id").alias("_copy"))
+    copies = saved(near_duplicates(docs).select(F.col("doc_id").alias("_copy")))
+    if copies.count() * 24 <= BROADCAST_BYTES:  # else both sides are shuffled
+        copies = F.broadcast(copies)
     left = docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
     again = only(docs, "doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
