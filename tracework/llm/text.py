@@ -128,5 +128,8 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone, so that extra ones never reach Python or clash with the operator's."""
+    """The named columns alone, so that extra ones never reach Python or clash with the operator's, not even by another case of letters."""
+    names = df.columns
+    if any(sum(n.lower() == c.lower() for n in names) > 1 for c in columns):
+        df = df.toDF(*(n if n in columns else f"_{i}" for i, n in enumerate(names)))
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -179,9 +179,7 @@ def _one_size(vectors: DataFrame, dim: int, k: int, wave_bytes: int) -> DataFram
     n = vectors.count()
     waves = max(1, -(-n * dim * 8 // wave_bytes))
     state = vectors.withColumns({"d": F.array().cast("array<double>"), "i": F.array().cast("array<bigint>")})
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if state.rdd.getNumPartitions() < parts:
-        state = state.repartition(parts, "id")
+    state = state.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     for wave in range(waves):
         t = vectors.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == wave).toArrow().sort_by("id")
         column = t.column("v").combine_chunks()
