@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .dedup import near_duplicates
 from .storage import saved
-from .text import Words, blocks, distinct, documents, only, words
+from .text import Words, blocks, documents, only, words
 
 #: Labelled rows used for seeds and threshold at most, drawn by a hash of ``doc_id``.
 TRAIN_ROWS = 20_000
@@ -33,10 +33,13 @@ MAX_CLEAN_SEEDS = 50
 WINDOW = 25
 #: What a node needs: times near a toxic seed, distinct toxic seeds (words of one copied text meet few), and PMI in bits.
 MIN_NEAR = 20
+#: The same as a share of all words of the corpus, so that the graph stops growing with it; whichever is more counts.
+NEAR_SHARE = 1e-6
 MIN_SEEDS = 5
 MIN_PMI = 3.0
-#: Times that two nodes must stand together to be joined, and their PMI in bits.
+#: Times that two nodes must stand together to be joined, at least and as a share of all words, and their PMI in bits.
 MIN_EDGE = 3
+EDGE_SHARE = 1e-8
 MIN_EDGE_PMI = 1.0
 RESTART = 0.3
 STEPS = 30
@@ -230,10 +233,10 @@ def induce(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, win
     mass = near.where("h is null").first()
     # n leaves out blocks where the word is near no seed, so that this bound is met by all words that truly meet it
     chance = 2.0**MIN_PMI * mass["near"] / max(mass["n"], 1)
-    fits = (F.col("near") >= MIN_NEAR) & (F.bit_count("which") >= min(MIN_SEEDS, len(toxic))) & (F.col("near") / F.col("n") >= chance)
+    fits = (F.col("near") >= max(MIN_NEAR, NEAR_SHARE * mass["n"])) & (F.bit_count("which") >= min(MIN_SEEDS, len(toxic))) & (F.col("near") / F.col("n") >= chance)
     chosen = near.where(F.col("h").isNotNull() & fits).select("h").toArrow().to_pandas()["h"].to_numpy(np.int64).view(np.uint64)
     nodes = np.unique(np.concatenate([known, chosen]))
-    rows = docs.mapInArrow(_edges(nodes, window), "a long, b long, n long, term string").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("term").alias("term")).where((F.col("b") < 0) | (F.col("n") >= MIN_EDGE)).toArrow().to_pandas()
+    rows = docs.mapInArrow(_edges(nodes, window), "a long, b long, n long, term string").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("term").alias("term")).where((F.col("b") < 0) | (F.col("n") >= max(MIN_EDGE, EDGE_SHARE * mass["n"]))).toArrow().to_pandas()
     return _lexicon(nodes, known, side, rows, window)
 
 
