@@ -89,3 +89,14 @@ def test_empty_table(spark):
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert dict(result(dedup.components(edges))) == {**{i: 0 for i in range(1, 61)}, 101: 100}
+
+
+def test_columns_that_differ_by_case(spark):
+    from tracework.llm.text import only
+
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        df = spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, TEXT string")
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert result(only(df, "doc_id", "text")) == [(1, "a")]
