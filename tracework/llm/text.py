@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of text one numpy kernel call works on; bounds a worker's memory.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: A word as a regular expression.
 WORD = "[0-9A-Za-z\u00c0-\u1fff\u2080-\u2fff\u3040-\U0010ffff]+"
