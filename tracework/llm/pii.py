@@ -36,8 +36,12 @@ REMOVE = 0.9
 #: Candidate terms broadcast for counting; beyond it all words are counted and joined.
 BROADCAST_TERMS = 4_000_000
 
-#: What a document must hold to have any entity at all; the entities' own patterns run only there.
-MAYBE = r"@|[0-9][0-9 ().-]{5,}[0-9]|[0-9a-fA-F]{32}|(?i:token|secret|passw|api.?key|access.?key)|AKIA|gh[pousr]_|sk-"
+#: What a document must hold to have any entity at all; the entities' own patterns run only there, so it has to match wherever ``ENTITY`` does.
+#: It runs in RE2, whose \d and \s are ASCII only: \p{Nd} and the class of spaces stand for those of ``re``.
+MAYBE = (
+    r"@|\p{Nd}[\p{Nd} ().-]{5,}\p{Nd}|[A-Z]{2}\p{Nd}{2}(?: ?[A-Z0-9]{4}){3}|[0-9a-fA-F]{32}"
+    r"|(?i:token|secret|password|passwd|key)[\s\v\x1c-\x1f\x{85}\p{Z}]*[=:]|AKIA|gh[pousr]_|sk-"
+)
 ENTITY = re.compile(
     r"(?P<MAIL>[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<SECRET>(?:(?i:\b(?:access[ _-]?|auth[ _-]?|api[ _-]?|secret[ _-]?|private[ _-]?)?(?:token|secret|password|passwd|key))\s*[=:]\s*[\"']?)(?P<value>[^\s\"'&<>]{6,})"
