@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -40,6 +41,32 @@ def test_held_out_accuracy_and_induced_terms(spark):
     assert np.mean([got[i] == bool(toxic[i]) for i in range(500, 1500)]) > 0.98
 
 
+def test_clean_documents_take_no_term_away(spark):
+    rows, toxic = corpus(700)
+    rng = np.random.default_rng(4)
+    rows += [(2000 + i, " ".join(["grim", *rng.permutation(BAD)[:9]])) for i in range(6)]  # 54 meetings with seeds
+    marks = labels(spark, [(i, toxic[i]) for i in range(500)])
+    docs = documents(spark, rows).select("doc_id", "text")
+    clean = spark.range(5000, 5300, 1, 8).selectExpr("id doc_id", "repeat('so it ', 100000) text")  # 60 million words
+    for table in (docs, docs.unionByName(clean)):
+        lexicon = tx.induce(table, marks)
+        polarity = dict(zip(lexicon.terms, lexicon.polarity))
+        assert polarity.get("grim", -1) > 0 and all(polarity.get(w, 0) >= tx.MIN_POLARITY for w in BAD)
+
+
+def test_pairs_left_out_before_the_driver_are_no_edges(spark):
+    rng = np.random.default_rng(6)
+    v = 40
+    a, b = np.triu_indices(v, 1)
+    table = [(i, -1, int(rng.integers(50, 5000)), f"t{i}") for i in range(v)] + [(0, -2, 1_000_000, None)] + [(int(i), int(j), int(rng.integers(3, 2000)), None) for i, j in zip(a, b)]
+    rows = spark.createDataFrame(table, "a long, b long, n long, term string")
+    nodes, side = np.arange(v, dtype=np.uint64), np.repeat([0, 1], 5)
+    few = pd.concat([rows.where("b < 0").toPandas(), tx._joined(rows, v, tx.WINDOW).toPandas()])
+    assert len(few) < len(table)
+    want, got = (tx._lexicon(nodes, nodes[:10], side, t, tx.WINDOW) for t in (rows.toPandas(), few))
+    assert np.array_equal(want.polarity, got.polarity) and want.terms == got.terms
+
+
 def test_walk_matches_dense_matrix():
     rng = np.random.default_rng(0)
     a, b = np.triu_indices(12, 1)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,13 +34,10 @@ MAX_CLEAN_SEEDS = 50
 WINDOW = 25
 #: What a node needs: times near a toxic seed, distinct toxic seeds (words of one copied text meet few), and PMI in bits.
 MIN_NEAR = 20
-#: The same as a share of all words of the corpus, so that the graph stops growing with it; whichever is more counts.
-NEAR_SHARE = 1e-6
 MIN_SEEDS = 5
 MIN_PMI = 3.0
-#: Times that two nodes must stand together to be joined, at least and as a share of all words, and their PMI in bits.
+#: Times that two nodes must stand together to be joined, and their PMI in bits.
 MIN_EDGE = 3
-EDGE_SHARE = 1e-8
 MIN_EDGE_PMI = 1.0
 RESTART = 0.3
 STEPS = 30
@@ -233,13 +231,30 @@ def induce(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, win
     mass = near.where("h is null").first()
     # n leaves out blocks where the word is near no seed, so that this bound is met by all words that truly meet it
     chance = 2.0**MIN_PMI * mass["near"] / max(mass["n"], 1)
-    fits = (F.col("near") >= max(MIN_NEAR, NEAR_SHARE * mass["n"])) & (F.bit_count("which") >= min(MIN_SEEDS, len(toxic))) & (F.col("near") / F.col("n") >= chance)
+    fits = (F.col("near") >= MIN_NEAR) & (F.bit_count("which") >= min(MIN_SEEDS, len(toxic))) & (F.col("near") / F.col("n") >= chance)
     chosen = near.where(F.col("h").isNotNull() & fits).select("h").toArrow().to_pandas()["h"].to_numpy(np.int64).view(np.uint64)
     nodes = np.unique(np.concatenate([known, chosen]))
-    rows = docs.mapInArrow(_edges(nodes, window), "a long, b long, n long, term string").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("term").alias("term")).where((F.col("b") < 0) | (F.col("n") >= max(MIN_EDGE, EDGE_SHARE * mass["n"]))).toArrow().to_pandas()
+    rows = saved(docs.mapInArrow(_edges(nodes, window), "a long, b long, n long, term string").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("term").alias("term")).where((F.col("b") < 0) | ((F.col("n") >= MIN_EDGE) & (F.col("a") != F.col("b")))))
+    rows = pd.concat([rows.where("b < 0").toArrow().to_pandas(), _joined(rows, len(nodes), window).toArrow().to_pandas()])
     return _lexicon(nodes, known, side, rows, window)
 
 
+def _joined(rows: DataFrame, v: int, window: int) -> DataFrame:
+    """The pairs that ``_lexicon`` keeps as edges, or might but for rounding: the others, most of all pairs, do not go to the driver."""
+    t = rows.where("b < 0").select("a", "b", "n").toArrow().to_pandas()
+    single, own = np.ones(v), t[t["b"] == -1]
+    single[own["a"].to_numpy()] = own["n"].to_numpy()
+    least = 2.0**MIN_EDGE_PMI * (1 - 1e-9) * 2.0 * window / max(float(t[t["b"] == -2]["n"].sum()), 1.0)
+    held = rows.sparkSession.sparkContext.broadcast(single)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n = (np.asarray(batch.column(c)) for c in ("a", "b", "n"))
+            yield batch.take(pa.array(np.flatnonzero(n >= least * held.value[a] * held.value[b])))
+
+    return rows.where("b >= 0").mapInArrow(join, rows.schema)
+
+
 def _lexicon(nodes: np.ndarray, known: np.ndarray, side: np.ndarray, rows, window: int) -> Lexicon:
     v = len(nodes)
     terms = [""] * v
