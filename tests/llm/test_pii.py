@@ -90,6 +90,16 @@ def test_disclosures_match_brute_force(spark):
     assert got["NETWORK", "host"] < pii.GENERALISE
 
 
+def test_all_values_of_a_document_are_support(spark):
+    shared = [(i, f"contact info@x.example.org then contact person{i}@x.example.org") for i in range(6)]
+    long = [(50, " ".join(f"reach user{i}@y.example.org" for i in range(40)))]
+    rows = shared + long + [(100 + i, "plain words only") for i in range(20)]
+    got = {(r["class"], r["term"]): (r["support"], r["n_both"], r["disclosure"]) for r in pii.disclosures(documents(spark, rows)).collect()}
+    assert got["MAIL", "contact"][:2] == (7, 6) and got["MAIL", "reach"][:2] == (40, 1)
+    want = brute(rows)
+    assert got.keys() == want.keys() and all(abs(got[k][2] - want[k]) < 1e-9 for k in want)
+
+
 def test_sanitise(spark):
     rows = corpus()
     out = {r["doc_id"]: r for r in pii.sanitise(documents(spark, rows)).collect()}

@@ -67,9 +67,9 @@ def _maybe(texts: pa.Array) -> np.ndarray:
     return np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(texts, MAYBE), False)))
 
 
-def near_terms(text: str, found: list[tuple[int, int, str]], window: int) -> dict[tuple[str, str], str]:
-    """(class, term) to one entity value near which the term stands, outside all entities."""
-    out: dict[tuple[str, str], str] = {}
+def near_terms(text: str, found: list[tuple[int, int, str]], window: int) -> dict[tuple[str, str], set[str]]:
+    """(class, term) to all entity values near which the term stands, outside all entities."""
+    out: dict[tuple[str, str], set[str]] = {}
     for k, (start, end, kind) in enumerate(found):
         for step in (-1, 1):
             left, at, place = window, k, start if step < 0 else end
@@ -80,7 +80,7 @@ def near_terms(text: str, found: list[tuple[int, int, str]], window: int) -> dic
                 terms = _TERM.findall(text, low, high)
                 terms = terms[-left:] if step < 0 else terms[:left]
                 for t in terms:
-                    out.setdefault((kind, t.lower()), text[start:end])
+                    out.setdefault((kind, t.lower()), set()).add(text[start:end])
                 left -= len(terms)
                 if not other or (high - low) >= 1000:
                     break
@@ -93,16 +93,17 @@ def _scan(window: int):
         for batch in batches:
             for block in blocks(batch):
                 texts = block.column("text")
-                kinds, terms, values = [], [], []
+                kinds, terms, values, first = [], [], [], []  # first: one row a document and term
                 for i in _maybe(texts):
                     text = texts[i].as_py()
                     found = entities(text)
                     for kind in {k for _, _, k in found}:
-                        kinds.append(kind), terms.append(None), values.append(None)
-                    for (kind, term), value in near_terms(text, found, window).items():
-                        kinds.append(kind), terms.append(term), values.append(value)
+                        kinds.append(kind), terms.append(None), values.append(None), first.append(True)
+                    for (kind, term), own in near_terms(text, found, window).items():
+                        for k, value in enumerate(own):
+                            kinds.append(kind), terms.append(term), values.append(value), first.append(k == 0)
                 if kinds:
-                    yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(terms, pa.string()), pa.array(values, pa.string())], ["class", "term", "value"])
+                    yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(terms, pa.string()), pa.array(values, pa.string()), pa.array(first)], ["class", "term", "value", "first"])
 
     return scan
 
@@ -143,9 +144,9 @@ def _counts(docs: DataFrame, terms: list[str] | None) -> DataFrame:
 def disclosures(docs: DataFrame, window: int = WINDOW, min_support: int = MIN_SUPPORT, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(class, term, support, n_both, n_term, n_class, disclosure) for each term near ``min_support`` distinct entity values of a class, over all documents."""
     docs = only(docs, "text").where("text is not null")
-    found = saved(docs.mapInArrow(_scan(window), "class string, term string, value string"))
+    found = saved(docs.mapInArrow(_scan(window), "class string, term string, value string, first boolean"))
     classes = found.where("term is null").groupBy("class").agg(F.count("*").alias("n_class"))
-    near = saved(found.where("term is not null").groupBy("class", "term").agg(F.count("*").alias("n_both"), F.countDistinct("value").alias("support")).where(F.col("support") >= min_support))
+    near = saved(found.where("term is not null").groupBy("class", "term").agg(F.count_if("first").alias("n_both"), F.countDistinct("value").alias("support")).where(F.col("support") >= min_support))
     total = docs.count()
     terms = None
     if near.select("term").distinct().count() <= broadcast_terms:
