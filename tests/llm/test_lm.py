@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import awkward, documents, result
@@ -76,6 +77,27 @@ def test_block_scores_equal_a_plain_loop():
         at += n
 
 
+def test_all_windows_are_trained_on_and_steps_grow(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    size = np.array([0, 1, 32, 33, 57, 500, 90])
+    ids = [rng.integers(0, 6, n).astype(np.uint16) for n in size]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(size))), "ids": pa.array([i.tobytes() for i in ids], pa.binary())})
+    tree, _ = small()
+    doc, first = lm.windows(size)
+    want = lm.laid_out(tree.word[np.concatenate(ids)], size, doc, first, 6)
+    got = lm._windows_of(pa.Table.from_batches(lm._sampled(1, 3)(iter([batch]))), tree)
+    assert len(doc) == len(got[0]) and np.array_equal(want[2], got[2])
+    assert all(np.array_equal(np.where(want[2], a, 0), np.where(want[2], b, 0)) for a, b in zip(want[:2], got[:2]))
+    assert lm.SAMPLE_EVERY == 1
+    tokens = spark.createDataFrame([(i, bytearray(rng.integers(0, 6, 2000).astype(np.uint16).tobytes())) for i in range(12)], "doc_id long, ids binary")
+    steps = []
+    monkeypatch.setattr(lm.Model, "__init__", lambda self, *a, f=lm.Model.__init__, **k: (steps.append(1), f(self, *a, **k))[1])
+    lm.fitted(tokens.limit(2), per_worker=16)
+    few = len(steps)
+    lm.fitted(tokens, per_worker=16)
+    assert len(steps) - few > few  # a model on the driver for each round
+
+
 def test_learns_more_than_frequencies(spark):
     rng = np.random.default_rng(2)
     phrases = ["the cat sat on the mat", "a dog ran over the hill", "birds fly south in autumn", "rain falls on the plain"]

@@ -7,10 +7,12 @@ probability is normalised without a pass over the vocabulary.
 
 The model is one attention layer over a window of ``WINDOW`` ids: embeddings and
 positions, queries, keys and values, a causal mask, a residual, and a vector and
-bias for each inner node.  Training takes every ``SAMPLE_EVERY``-th window of all
-documents by hash, a share that follows the input.  In each round every worker
-takes Adam steps on its windows from the same start, and the mean of the workers'
-parameters, weighted by their windows, starts the next round.
+bias for each inner node.  Training takes all windows of all documents, cut by
+hash into chunks of ``WINDOWS_PER_WORKER`` windows for each core.  In each round
+every worker takes Adam steps on its windows of the next chunk from the same
+start, and the mean of the workers' parameters, weighted by their windows, starts
+the round after, so that steps grow with the input.  Fewer than ``ROUNDS`` chunks
+are gone through again until there are as many rounds.
 
 Scoring covers a document with windows that overlap by ``OVERLAP`` ids.  An id is
 scored once, in the first window that holds it; all windows of a block go
@@ -34,7 +36,7 @@ from .text import blocks, documents, mix, only
 WIDTH = 16
 WINDOW = 32
 OVERLAP = 8
-SAMPLE_EVERY = 128
+SAMPLE_EVERY = 1
 WINDOWS_PER_WORKER = 4096
 ROUNDS = 3
 BATCH = 64
@@ -235,17 +237,21 @@ def _token_blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
+    """(id, n): how often each id occurs; id = -1 has the number of windows."""
+    total, n_windows = np.zeros(1 << 16, np.int64), 0
     for batch in batches:
         for block in _token_blocks(batch):
-            total += np.bincount(_ids(block.column("ids"))[0], minlength=1 << 16)
+            ids, size = _ids(block.column("ids"))
+            total += np.bincount(ids, minlength=1 << 16)
+            n_windows += len(windows(size)[0])
     at = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(at), pa.array(total[at])], ["id", "n"])
+    yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n_windows))], ["id", "n"])
 
 
-def _sampled(tree: Tree, every: int):
+def _sampled(every: int, chunks: int):
+    """Rows (key, ids, start, chunk): the ids of a window after the one before it, if the window does not start its text."""
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_id = len(tree.ptr) - 1
         for batch in batches:
             for block in _token_blocks(batch):
                 ids, size = _ids(block.column("ids"))
@@ -254,38 +260,45 @@ def _sampled(tree: Tree, every: int):
                 h = mix(mix(key, 3) ^ first.astype(np.uint64), 4)
                 take = np.flatnonzero(h % np.uint64(every) == 0)
                 if len(take):
-                    x, y, ok = laid_out(tree.word[ids], size, doc[take], first[take], begin_id)
-                    cols = [pa.array([r.tobytes() for r in np.ascontiguousarray(a)], pa.binary()) for a in (x.astype(np.int32), y.astype(np.int32), ok)]
-                    yield pa.record_batch([pa.array(h[take].view(np.int64)), *cols], ["key", "x", "y", "ok"])
+                    h, doc, first = h[take], doc[take], first[take]
+                    base = (np.cumsum(size) - size)[doc]
+                    low, high = base + np.maximum(first - 1, 0), base + np.minimum(first + WINDOW, size[doc])
+                    cut = [ids[a:b].tobytes() for a, b in zip(low, high)]
+                    chunk = (mix(h, 5) % np.uint64(chunks)).astype(np.int32)
+                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(cut, pa.binary()), pa.array(first == 0), pa.array(chunk)], ["key", "ids", "start", "chunk"])
 
     return sample
 
 
+def _windows_of(t: pa.Table, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and positions of the rows of ``_sampled``, as ``laid_out`` gives them for the whole texts."""
+    ids, size = _ids(t.column("ids"))
+    return laid_out(tree.word[ids], size, np.arange(len(size)), np.where(np.asarray(t.column("start")), 0, 1), len(tree.ptr) - 1)
+
+
 def fitted(tokens: DataFrame, every: int = SAMPLE_EVERY, per_worker: int = WINDOWS_PER_WORKER, rounds: int = ROUNDS) -> tuple[Tree, Model]:
-    """The tree over all ids of the corpus and the model trained on its sampled windows."""
+    """The tree over all ids of the corpus and the model trained on its windows, or one in ``every``."""
     spark = tokens.sparkSession
     counts = tokens.mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    n = -(-int(counts.loc[counts["id"] < 0, "n"].sum()) // every)
+    counts = counts[counts["id"] >= 0]
     tree = huffman(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
     model = Model.start(tree)
     if len(counts) < 2:
         return tree, model
-    sample = saved(tokens.mapInArrow(_sampled(tree, every), "key long, x binary, y binary, ok binary"))
-    workers = -(-sample.count() // per_worker)
-    if not workers:
-        return tree, model
-    shared = saved(sample.repartition(workers, "key"))
-    del sample
-    for _ in range(rounds):
+    workers = max(1, min(spark.sparkContext.defaultParallelism, -(-n // per_worker)))
+    chunks = max(1, -(-n // (workers * per_worker)))
+    shared = saved(tokens.mapInArrow(_sampled(every, chunks), "key long, ids binary, start boolean, chunk int").repartition(chunks, "chunk"), "chunk")
+    for k in range(chunks * -(-rounds // chunks)):
         held = spark.sparkContext.broadcast((tree, model.flat))
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             tree, flat = held.value
-            t = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("ok", pa.binary())])).sort_by("key")
+            t = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("ids", pa.binary()), ("start", pa.bool_())])).sort_by("key")
             if not t.num_rows:
                 return
-            x, y, ok = (np.frombuffer(b"".join(t.column(c).to_pylist()), d).reshape(t.num_rows, -1) for c, d in (("x", np.int32), ("y", np.int32), ("ok", bool)))
             own = Model(len(tree.ptr) - 1, flat=flat.copy())
-            own.train(x, y, ok, tree)
+            own.train(*_windows_of(t, tree), tree)
             at = range(0, len(own.flat), _BLOCK)
             yield pa.record_batch([pa.array(np.arange(len(at))), pa.array([float(t.num_rows)] * len(at)), pa.array([own.flat[i : i + _BLOCK].tobytes() for i in at], pa.binary())], ["block", "weight", "part"])
 
@@ -294,8 +307,10 @@ def fitted(tokens: DataFrame, every: int = SAMPLE_EVERY, per_worker: int = WINDO
             total = sum(w * np.frombuffer(part, np.float32).astype(float) for part, w in parts) / sum(w for _, w in parts)
             return pa.table({"block": group.column("block").slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        done = shared.repartition(workers, "key").mapInArrow(work, "block long, weight double, part binary").groupBy("block").applyInArrow(mean, "block long, part binary").toArrow().to_pandas().sort_values("block")
-        model = Model(len(tree.ptr) - 1, flat=np.frombuffer(b"".join(done["part"]), np.float32).copy())
+        done = shared.where(F.col("chunk") == k % chunks).select("key", "ids", "start").repartition(workers, "key").mapInArrow(work, "block long, weight double, part binary").groupBy("block").applyInArrow(mean, "block long, part binary").toArrow().to_pandas().sort_values("block")
+        held.unpersist()
+        if len(done):
+            model = Model(len(tree.ptr) - 1, flat=np.frombuffer(b"".join(done["part"]), np.float32).copy())
     return tree, model
 
 
