@@ -1,5 +1,6 @@
 import numpy as np
-from hypothesis import given, strategies as st
+import pyarrow as pa
+from hypothesis import given, settings, strategies as st
 
 from tests.llm.helpers import awkward, documents, result
 from tracework.llm import packing
@@ -16,6 +17,23 @@ def test_lengths_are_the_binary_form(sizes, top):
         assert len(small) == len(set(small))
 
 
+@settings(deadline=None)
+@given(st.lists(st.text(st.sampled_from(["'", "s", "t", "r", "e", "v", "l", "m", "d", "L", " ", "\n", "\t", "\x85", "\x1c", "\u00a0", "é", "漢", "\u0301", "1", "²", "!", "🙂", "\u0378", "x"]), max_size=12), max_size=5))
+def test_ids_of_blocks_are_those_of_each_text(texts):
+    texts = [*texts, None, "word " * 9 + "x" * 100]
+    ids, size = packing.block_ids(packing.TOKENIZER, pa.array(texts))
+    want = [packing.token_ids(packing.TOKENIZER, t or "").tolist() for t in texts]
+    assert size.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_pieces_that_take_each_others_slot(monkeypatch):
+    monkeypatch.setattr(packing, "_SLOTS", 4)
+    monkeypatch.setattr(packing, "_caches", {})
+    texts = ["one two three four five six one two", "six five seven eight nine", "one two", "x" * 200 + " one"] * 3
+    for text in texts:
+        assert packing.block_ids(packing.TOKENIZER, pa.array([text]))[0].tolist() == packing.token_ids(packing.TOKENIZER, text).tolist()
+
+
 def test_round_trip(spark):
     rows = [(1, "Hello world, this is it."), (2, "é" * 5000), *awkward()]
     out = result(packing.pack(documents(spark, rows), max_length=64, batch_tokens=128), "doc_id", "piece")

@@ -24,7 +24,7 @@ WORD = "[0-9A-Za-z\u00c0-\u1fff\u2080-\u2fff\u3040-\U0010ffff]+"
 
 _WORD = np.zeros(256, bool)
 _WORD[[c for c in range(256) if chr(c).isalnum() and c < 128 or c >= 128]] = True
-_POW = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
+POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
 _BYTE = ((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(0x94D049BB133111EB)
 
 
@@ -110,7 +110,7 @@ def words(texts: pa.Array) -> Words:
     reach = np.diff(np.append(start, len(data)))
     value = _BYTE[data[start[0] :]]
     value *= inside[start[0] :]
-    value *= _POW[(np.arange(start[0], len(data)) - np.repeat(start, reach)) & 4095]
+    value *= POWERS[(np.arange(start[0], len(data)) - np.repeat(start, reach)) & 4095]
     h = mix(np.add.reduceat(value, start - start[0]))
     ptr = np.searchsorted(start, off)
     return Words(h, start, length, np.repeat(np.arange(n), np.diff(ptr)), ptr, data)
