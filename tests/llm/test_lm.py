@@ -15,13 +15,13 @@ def test_probabilities_sum_to_one():
     tree, m = small()
     h = m.hidden(np.array([[6, 1, 2]]))[0][0]
     for state in h:
-        loss, _ = m.losses(np.repeat(state[None], 6, 0), np.arange(6), tree)
+        loss = m.losses(np.repeat(state[None], 6, 0), np.arange(6), tree)
         assert np.exp(-loss).sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_start_gives_corpus_frequencies():
     tree, m = small()
-    loss, _ = m.losses(np.zeros((6, 4), np.float32), np.arange(6), tree)
+    loss = m.losses(np.zeros((6, 4), np.float32), np.arange(6), tree)
     assert np.exp(-loss) == pytest.approx(np.array([5, 3, 8, 1, 2, 9]) / 28, abs=0.05)
 
 
@@ -31,18 +31,20 @@ def test_attention_is_causal():
     assert np.allclose(a[:, :2], b[:, :2]) and not np.allclose(a[:, 2:], b[:, 2:])
 
 
-def test_gradient():
+@pytest.mark.parametrize("busy", [0, 2, 64])
+def test_gradient(busy, monkeypatch):
+    monkeypatch.setattr(lm, "BUSY_NODES", busy)
     tree, m = small()
     x, y = np.array([[6, 1, 2, 3, 0], [6, 5, 5, 1, 2]]), np.array([[1, 2, 3, 0, 4], [5, 5, 1, 2, 0]])
     ok = np.ones((2, 5), bool)
     ok[1, 4] = False
-    got, _ = m.gradient(x, y, ok, tree)
+    got = m.gradient(x, y, ok, tree)
 
     def loss(flat):
         other, at = lm.Model(6, 4, 8), 0
         for name, part in other.part.items():
             other.part[name], at = flat[at : at + part.size].reshape(part.shape), at + part.size
-        return other.losses(other.hidden(x)[0][ok], y[ok], tree)[0].mean()
+        return other.losses(other.hidden(x)[0][ok], y[ok], tree).mean()
 
     flat = m.flat.astype(float)
     want = [(loss(flat + e) - loss(flat - e)) / 2e-4 for e in np.eye(len(flat)) * 1e-4]
@@ -72,30 +74,76 @@ def test_block_scores_equal_a_plain_loop():
             k = max(0, -(-(i + 1 - lm.WINDOW) // (lm.WINDOW - lm.OVERLAP)))
             begin = k * (lm.WINDOW - lm.OVERLAP)
             x = [own[j - 1] if j else 6 for j in range(begin, i + 1)]
-            loss += m.losses(m.hidden(np.array([x]))[0][0, -1:], own[i : i + 1], tree)[0][0]
+            loss += m.losses(m.hidden(np.array([x]))[0][0, -1:], own[i : i + 1], tree)[0]
         assert total == pytest.approx(loss, rel=1e-4)
         at += n
 
 
-def test_all_windows_are_trained_on_and_steps_grow(spark, monkeypatch):
+def table(spark, folder, ids, files):
+    rows = [(i, bytearray(x.astype(np.uint16).tobytes())) for i, x in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id long, ids binary").repartition(files).write.parquet(str(folder))
+    return spark.read.parquet(str(folder))
+
+
+def test_every_id_is_a_target_of_training_once(monkeypatch):
     rng = np.random.default_rng(3)
     size = np.array([0, 1, 32, 33, 57, 500, 90])
     ids = [rng.integers(0, 6, n).astype(np.uint16) for n in size]
-    batch = pa.record_batch({"doc_id": pa.array(range(len(size))), "ids": pa.array([i.tobytes() for i in ids], pa.binary())})
+    batch = pa.record_batch({"ids": pa.array([i.tobytes() for i in ids], pa.binary())})
     tree, _ = small()
-    doc, first = lm.windows(size)
-    want = lm.laid_out(tree.word[np.concatenate(ids)], size, doc, first, 6)
-    got = lm._windows_of(pa.Table.from_batches(lm._sampled(1, 3)(iter([batch]))), tree)
-    assert len(doc) == len(got[0]) and np.array_equal(want[2], got[2])
-    assert all(np.array_equal(np.where(want[2], a, 0), np.where(want[2], b, 0)) for a, b in zip(want[:2], got[:2]))
-    assert lm.SAMPLE_EVERY == 1
-    tokens = spark.createDataFrame([(i, bytearray(rng.integers(0, 6, 2000).astype(np.uint16).tobytes())) for i in range(12)], "doc_id long, ids binary")
-    steps = []
-    monkeypatch.setattr(lm.Model, "__init__", lambda self, *a, f=lm.Model.__init__, **k: (steps.append(1), f(self, *a, **k))[1])
-    lm.fitted(tokens.limit(2), per_worker=16)
-    few = len(steps)
-    lm.fitted(tokens, per_worker=16)
-    assert len(steps) - few > few  # a model on the driver for each round
+    seen = []
+    monkeypatch.setattr(lm.Adam, "step", lambda self, x, y, ok, tree: seen.append((x[ok], y[ok])))
+    held = type("Held", (), {"value": (tree, lm.Model.start(tree).flat)})
+    (out,) = lm._work(held, np.uint16, 0.01, 1)(iter([batch]))
+    x, y = map(np.concatenate, zip(*seen))
+    want = [(a, b) for own in ids for a, b in zip([6, *tree.word[own][:-1].tolist()], tree.word[own].tolist())]
+    assert sorted(zip(x.tolist(), y.tolist())) == sorted(want)
+    assert out.column("windows")[0].as_py() == sum(-(-n // lm.WINDOW) for n in size)
+
+
+def test_the_mean_is_weighted_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "_PART", 3)
+    rng = np.random.default_rng(4)
+    flats, weight = rng.normal(size=(9, 8)), rng.integers(1, 50, 9)
+    rows = []
+    for flat, n in zip(flats, weight.tolist()):
+        sums = np.rint(flat * n * lm._UNIT).astype(np.int64)
+        rows += [(i, n, bytearray(sums[3 * i : 3 * i + 3].tobytes())) for i in range(3)]
+    got = [lm.mean_of(spark.createDataFrame(rng.permutation(np.array(rows, object)).tolist(), lm.PARTS).repartition(k), 3) for k in (1, 4)]
+    assert np.array_equal(*got) and got[0] == pytest.approx(np.average(flats, axis=0, weights=weight), abs=1e-5)
+    assert lm.mean_of(spark.createDataFrame([], lm.PARTS), 3) is None
+
+
+def test_training_is_that_of_a_plain_loop_over_rounds(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    ids = [rng.integers(0, 6, 400) for _ in range(12)]
+    tokens = table(spark, tmp_path / "t", ids, 3)
+    tree, got = lm.fitted(tokens, min_steps=0, workers=2)
+    files = sorted(tokens.inputFiles())
+    model = lm.Model.start(tree)
+    for i, chosen in enumerate((files[:2], files[2:])):
+        flats, weight = [], []
+        for file in chosen:
+            own, n = lm.Model(6, flat=model.flat.copy()), 0
+            docs = [np.frombuffer(x, np.uint16) for x in spark.read.parquet(file).toPandas()["ids"]]
+            size = np.array([len(x) for x in docs])
+            x, y, ok = lm.laid_out(tree.word[np.concatenate(docs)], size, *lm.windows(size, overlap=0), 6, overlap=0)
+            order = np.random.default_rng(0).permutation(len(x))
+            adam = lm.Adam(own, lm.RATE / (1 + i) ** 0.5)
+            for at in range(0, len(x), lm.BATCH):
+                adam.step(*(v[order[at : at + lm.BATCH]] for v in (x, y, ok)), tree)
+            flats.append(own.flat), weight.append(len(x))
+        model = lm.Model(6, flat=np.average(flats, axis=0, weights=weight))
+    assert got.flat == pytest.approx(model.flat, abs=1e-4)
+
+
+def test_steps_grow_with_the_input(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    rounds = []
+    monkeypatch.setattr(lm, "mean_of", lambda rows, parts, f=lm.mean_of: (rounds.append(1), f(rows, parts))[1])
+    for files in (2, 8):
+        lm.fitted(table(spark, tmp_path / str(files), [rng.integers(0, 6, 300) for _ in range(4 * files)], files), workers=2)
+    assert len(rounds) == 1 + 4
 
 
 def test_learns_more_than_frequencies(spark):
@@ -103,7 +151,7 @@ def test_learns_more_than_frequencies(spark):
     phrases = ["the cat sat on the mat", "a dog ran over the hill", "birds fly south in autumn", "rain falls on the plain"]
     rows = [(i, ". ".join(rng.choice(phrases, 60))) for i in range(300)]
     shuffled = [(1000 + i, " ".join(rng.permutation(t.split()))) for i, t in rows[:20]]
-    out = {r["doc_id"]: r for r in lm.score(documents(spark, rows + shuffled), every=2).collect()}
+    out = {r["doc_id"]: r for r in lm.score(documents(spark, rows + shuffled)).collect()}
     plain = np.mean([out[i]["log_loss"] / out[i]["n_tokens"] for i, _ in rows])
     mixed = np.mean([out[i]["log_loss"] / out[i]["n_tokens"] for i, _ in shuffled])
     assert plain < 1.5 < mixed

@@ -7,12 +7,13 @@ probability is normalised without a pass over the vocabulary.
 
 The model is one attention layer over a window of ``WINDOW`` ids: embeddings and
 positions, queries, keys and values, a causal mask, a residual, and a vector and
-bias for each inner node.  Training takes all windows of all documents, cut by
-hash into chunks of ``WINDOWS_PER_WORKER`` windows for each core.  In each round
-every worker takes Adam steps on its windows of the next chunk from the same
-start, and the mean of the workers' parameters, weighted by their windows, starts
-the round after, so that steps grow with the input.  Fewer than ``ROUNDS`` chunks
-are gone through again until there are as many rounds.
+bias for each inner node.  Training takes every id of every document as a target
+once: each file of ids is cut into windows side by side where it lies, and
+nothing is shuffled but parameters.  A round gives one file to each core; all of
+its workers take Adam steps from the same start, and the mean of their
+parameters, weighted by their windows, starts the next round on new files, so
+that steps grow with the input.  Only a corpus too small for ``MIN_STEPS`` steps
+is gone through again until there are as many.
 
 Scoring covers a document with windows that overlap by ``OVERLAP`` ids.  An id is
 scored once, in the first window that holds it; all windows of a block go
@@ -29,44 +30,45 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .packing import TOKENIZER, token_ids
+from .packing import TOKENIZER, block_ids, encoder
 from .storage import saved
-from .text import blocks, documents, mix, only
+from .text import blocks, documents, only
 
 WIDTH = 16
 WINDOW = 32
 OVERLAP = 8
-SAMPLE_EVERY = 1
-WINDOWS_PER_WORKER = 4096
-ROUNDS = 3
-BATCH = 64
+BATCH = 256
+MIN_STEPS = 300
 RATE = 0.01
 #: Nodes next to the root that are computed for all states by one product; deeper ones only where a path needs them.
-BUSY_NODES = 128
+BUSY_NODES = 64
 #: Windows that one pass of the batched attention holds.
 SCORE_BATCH = 128
-_BLOCK = 1 << 14
+#: Parameters that one row carries, and the unit in which workers' parameters are summed as integers, so that no order of summing shows.
+_PART = 1 << 14
+_UNIT = 1 << 20
 
 SCHEMA = "doc_id long, n_tokens int, log_loss double, perplexity double"
 
 
 @dataclass
 class Tree:
-    """Huffman paths: inner nodes and turns (+1, -1) of word w at ``ptr[w]:ptr[w + 1]``; ``word`` maps a subword id to w."""
+    """Huffman paths: inner nodes and turns (+1, -1) of word w at ``ptr[w]:ptr[w + 1]``, from the leaf to the root, those below the busy ones before ``cut[w]``; ``word`` maps a subword id to w."""
 
     word: np.ndarray
     ptr: np.ndarray
+    cut: np.ndarray
     node: np.ndarray
     turn: np.ndarray
     bias: np.ndarray
 
 
-def huffman(ids: np.ndarray, count: np.ndarray) -> Tree:
-    """The tree of the ids with their counts; ids without a count share the path of the rarest."""
+def huffman(ids: np.ndarray, count: np.ndarray, size: int = 0) -> Tree:
+    """The tree of the ids with their counts; ids without a count, of ``size`` in all, share the path of the rarest."""
     order = np.argsort(ids)
     ids, count = ids[order], count[order]
     v = len(ids)
-    word = np.full(1 << 16, int(np.argmin(count)) if v else 0, np.int32)
+    word = np.full(max(size, int(ids[-1]) + 1 if v else 0), int(np.argmin(count)) if v else 0, np.int64)
     word[ids] = np.arange(v)
     heap = [(int(c), i) for i, c in enumerate(count)]
     heapq.heapify(heap)
@@ -88,7 +90,9 @@ def huffman(ids: np.ndarray, count: np.ndarray) -> Tree:
         ptr.append(len(node))
     share = ((right[v:top] + 0.5) / (total[v:top] + 1))[::-1]
     node = top - v - 1 - np.array(node, np.int64)  # the busiest nodes, those near the root, first
-    return Tree(word, np.array(ptr), node, np.array(turn, np.float32), np.log(share / (1 - share)).astype(np.float32))
+    ptr = np.array(ptr)
+    deep = np.concatenate(([0], np.cumsum(node >= BUSY_NODES)))
+    return Tree(word, ptr, ptr[:-1] + np.diff(deep[ptr]), node, np.array(turn, np.float32), np.log(share / (1 - share)).astype(np.float32))
 
 
 def _scattered(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -97,13 +101,22 @@ def _scattered(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((row[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d)
 
 
+def _path(y: np.ndarray, begin: np.ndarray, end: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, node and turn of each step ``begin[y]:end[y]`` of the words' paths."""
+    low = begin.take(y)
+    n = end.take(y) - low
+    place = np.repeat(low - (np.cumsum(n) - n), n)
+    place += np.arange(len(place))
+    return np.repeat(np.arange(len(y)), n), tree.node.take(place), tree.turn.take(place)
+
+
 class Model:
     """Parameters as views of one flat vector, so that workers' results average as vectors."""
 
     def __init__(self, vocabulary: int, width: int = WIDTH, window: int = WINDOW, flat: np.ndarray | None = None):
         self.v, self.d, self.t = vocabulary, width, window
         inner = max(vocabulary - 1, 1)
-        shapes = {"e": (vocabulary + 1, width), "p": (window, width), "q": (width, width), "k": (width, width), "u": (width, width), "o": (width, width), "n": (inner, width), "b": (inner,)}
+        shapes = {"e": (vocabulary + 1, width), "p": (window, width), "a": (width, 3 * width), "o": (width, width), "n": (inner, width), "b": (inner,)}
         size = sum(int(np.prod(s)) for s in shapes.values())
         self.flat = np.zeros(size, np.float32) if flat is None else flat.astype(np.float32)
         self.part, at = {}, 0
@@ -117,83 +130,119 @@ class Model:
         """Small random weights; the nodes' biases give every id its corpus frequency."""
         m = cls(len(tree.ptr) - 1, width, window)
         rng = np.random.default_rng(7)
-        for name in "epqkuo":
-            m.part[name][:] = rng.normal(0, 0.3 if name in "qkuo" else 0.1, m.part[name].shape)
+        for name in "epao":
+            m.part[name][:] = rng.normal(0, 0.3 if name in "ao" else 0.1, m.part[name].shape)
         m.part["b"][: len(tree.bias)] = tree.bias
         return m
 
     def hidden(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
         """States [B, T, d] for inputs [B, T] under a causal mask, and what the gradient needs."""
-        w = self.part
+        w, d = self.part, self.d
         t = x.shape[1]
-        h0 = w["e"][x] + w["p"][:t]
-        q, k, u = h0 @ (w["q"] / np.float32(self.d**0.5)), h0 @ w["k"], h0 @ w["u"]
+        h0 = w["e"].take(x, axis=0)
+        h0 += w["p"][:t]
+        s = np.repeat(np.array([d**-0.25, d**-0.25, 1], w["a"].dtype), d)  # queries and keys share the scale of their product
+        qku = (h0.reshape(-1, d) @ (w["a"] * s)).reshape(-1, t, 3 * d)
+        q, k, u = qku[..., :d], qku[..., d : 2 * d], qku[..., 2 * d :]
         e = q @ k.transpose(0, 2, 1)
         np.clip(e, -60, 60, out=e)  # far from what a float holds, so no maximum has to be taken off
         np.exp(e, out=e)
         e *= np.tri(t, dtype=np.float32)
-        c = e @ np.concatenate([u, np.ones((*u.shape[:2], 1), u.dtype)], axis=2)  # the last column sums the weights
-        total = c[..., -1:]
-        c = c[..., :-1] / total
-        return h0 + c @ w["o"], (h0, q, k, u, e, total, c)
-
-    def losses(self, h: np.ndarray, y: np.ndarray, tree: Tree) -> tuple[np.ndarray, tuple]:
-        """-log p of each word y given its state h, and what the gradient needs."""
-        n = tree.ptr[y + 1] - tree.ptr[y]
-        begin = np.cumsum(n) - n
-        total = int(n.sum())
-        path = np.repeat(tree.ptr[y] - begin, n) + np.arange(total)
-        node, turn, row = tree.node[path], tree.turn[path], np.repeat(np.arange(len(y)), n)
-        busy = min(BUSY_NODES, len(self.part["b"]))
-        all_busy = h @ self.part["n"][:busy].T
-        z = all_busy.ravel()[row * busy + np.minimum(node, busy - 1)]
-        deep = np.flatnonzero(node >= busy)
-        z[deep] = np.einsum("ij,ij->i", h[row[deep]], self.part["n"][node[deep]])
-        z += self.part["b"][node]
+        e /= e @ np.ones((t, 1), e.dtype)
+        c = e @ u
+        h = c @ w["o"]
+        h += h0
+        return h, (h0, q, k, u, e, c, s)
+
+    def _turns(self, h: np.ndarray, y: np.ndarray, tree: Tree) -> list[tuple]:
+        """(row, node, turn, score against the turn) of the paths' steps, below the busy nodes and at them."""
+        n, b = self.part["n"], self.part["b"]
+        row, node, turn = _path(y, tree.ptr, tree.cut, tree)
+        z = np.einsum("ij,ij->i", h.take(row, axis=0), n.take(node, axis=0))
+        z += b.take(node)
         z *= -turn
-        loss = np.log(np.exp(np.minimum(z, 80)) + 1)
-        out = np.add.reduceat(loss, begin, dtype=np.float64) if total and n.min() else np.zeros(len(y))
-        return out, (node, turn, row, z, begin, n)
+        busy = min(BUSY_NODES, len(b))
+        row2, node2, turn2 = _path(y, tree.cut, tree.ptr[1:], tree)
+        dense = h @ n[:busy].T
+        dense += b[:busy]
+        z2 = dense.ravel().take(row2 * busy + node2)
+        z2 *= -turn2
+        return [(row, node, turn, z), (row2, node2, turn2, z2)]
+
+    def losses(self, h: np.ndarray, y: np.ndarray, tree: Tree) -> np.ndarray:
+        """-log p of each word y given its state h."""
+        out = np.zeros(len(y))
+        for row, _, _, z in self._turns(h, y, tree):
+            np.minimum(z, 80, out=z)
+            np.exp(z, out=z)
+            out += np.bincount(row, np.log(z + 1), len(y))
+        return out
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, ok: np.ndarray, tree: Tree) -> tuple[Model, float]:
+    def gradient(self, x: np.ndarray, y: np.ndarray, ok: np.ndarray, tree: Tree) -> Model:
         """Gradient of the mean loss over the positions ``ok`` of windows x [B, T] with targets y [B, T]."""
         w, g = self.part, Model(self.v, self.d, self.t)
-        h, (h0, q, k, u, e, total, c) = self.hidden(x)
-        a = e / total
-        rows = h[ok]
-        loss, (node, turn, row, z, begin, n) = self.losses(rows, y[ok], tree)
-        scale = np.float32(1 / max(1, len(loss)))
-        dz = -turn / (1 + np.exp(-z)) * scale
-        g.part["n"] += _scattered(node, dz[:, None] * rows[row], len(g.part["n"]))
-        g.part["b"] += np.bincount(node, dz, len(g.part["b"]))
+        d, inner = self.d, len(w["b"])
+        h, (h0, q, k, u, a, c, s) = self.hidden(x)
+        place = np.flatnonzero(ok)
+        rows = h.reshape(-1, d).take(place, axis=0)
+        deep, busy = self._turns(rows, y.ravel().take(place), tree)
+        for row, _, turn, z in (deep, busy):
+            np.clip(z, -80, 80, out=z)
+            np.exp(np.negative(z, out=z), out=z)
+            z += 1
+            np.divide(turn * np.float32(-1 / max(1, len(rows))), z, out=z)
+        row, node, _, dz = deep
+        g.part["n"] += _scattered(node, dz[:, None] * rows.take(row, axis=0), inner)
+        back = _scattered(row, dz[:, None] * w["n"].take(node, axis=0), len(rows)).astype(h.dtype)
+        g.part["b"] += np.bincount(node, dz, inner)
+        row, node, _, dz = busy
+        n = min(BUSY_NODES, inner)
+        dense = np.zeros((len(rows), n), h.dtype)
+        dense.ravel()[row * n + node] = dz
+        g.part["n"][:n] += dense.T @ rows
+        g.part["b"][:n] += np.bincount(node, dz, n)
+        back += dense @ w["n"][:n]
         dh = np.zeros_like(h)
-        back = np.zeros_like(rows)
-        has = n > 0
-        if has.any():
-            back[has] = np.add.reduceat(dz[:, None] * w["n"][node], begin[has], axis=0)
-        dh[ok] = back
-        d = self.d
+        dh.reshape(-1, d)[place] = back
         g.part["o"] += c.reshape(-1, d).T @ dh.reshape(-1, d)
         dc = dh @ w["o"].T
-        da = dc @ u.transpose(0, 2, 1)
-        du = a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dq, dk = ds @ k / np.float32(self.d**0.5), ds.transpose(0, 2, 1) @ q
-        dx = dh + dq @ w["q"].T + dk @ w["k"].T + du @ w["u"].T
-        for name, own in (("q", dq), ("k", dk), ("u", du)):
-            g.part[name] += h0.reshape(-1, d).T @ own.reshape(-1, d)
-        g.part["e"] += _scattered(x.ravel(), dx.reshape(-1, d), len(g.part["e"]))
-        g.part["p"][: x.shape[1]] += dx.sum(0)
-        return g, float(loss.mean()) if len(loss) else 0.0
-
-    def train(self, x: np.ndarray, y: np.ndarray, ok: np.ndarray, tree: Tree, rate: float = RATE) -> None:
-        """One pass of Adam over the windows in batches."""
-        m, s = np.zeros_like(self.flat), np.zeros_like(self.flat)
-        for step, at in enumerate(range(0, len(x), BATCH), 1):
-            g = self.gradient(x[at : at + BATCH], y[at : at + BATCH], ok[at : at + BATCH], tree)[0].flat
-            m += 0.1 * (g - m)
-            s += 0.02 * (g * g - s)
-            self.flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.98**step)) + 1e-8)
+        ds = dc @ u.transpose(0, 2, 1)
+        ds -= np.einsum("btd,btd->bt", dc, c)[..., None]  # the mean under the weights
+        ds *= a
+        own = np.empty((*h.shape[:2], 3 * d), h.dtype)
+        np.matmul(ds, k, out=own[..., :d])
+        np.matmul(ds.transpose(0, 2, 1), q, out=own[..., d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), dc, out=own[..., 2 * d :])
+        own = own.reshape(-1, 3 * d)
+        g.part["a"] += h0.reshape(-1, d).T @ own * s
+        dx = own @ (w["a"] * s).T
+        dx += dh.reshape(-1, d)
+        g.part["e"] += _scattered(x.ravel(), dx, len(g.part["e"]))
+        g.part["p"][: x.shape[1]] += dx.reshape(h.shape).sum(0)
+        return g
+
+
+class Adam:
+    """Adam over a model's flat vector; the moments are kept from step to step."""
+
+    def __init__(self, model: Model, rate: float = RATE):
+        self.model, self.rate, self.steps = model, rate, 0
+        self.m, self.s, self.work = (np.zeros_like(model.flat) for _ in range(3))
+
+    def step(self, x: np.ndarray, y: np.ndarray, ok: np.ndarray, tree: Tree) -> None:
+        self.steps += 1
+        g = self.model.gradient(x, y, ok, tree).flat
+        m, s, work = self.m, self.s, self.work
+        m *= 0.9
+        m += np.multiply(g, 0.1, out=work)
+        s *= 0.98
+        g *= g
+        s += np.multiply(g, 0.02, out=work)
+        np.sqrt(np.multiply(s, 1 / (1 - 0.98**self.steps), out=work), out=work)
+        work += 1e-8
+        np.divide(m, work, out=work)
+        work *= self.rate / (1 - 0.9**self.steps)
+        self.model.flat -= work
 
 
 def windows(size: np.ndarray, window: int = WINDOW, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
@@ -216,101 +265,109 @@ def laid_out(words: np.ndarray, size: np.ndarray, doc: np.ndarray, first: np.nda
     return np.where(inside, x, begin_id), y, inside & new
 
 
-def _tokenised(tokenizer: str):
+def id_type(tokenizer: str) -> type:
+    """The least type that holds the tokenizer's ids."""
+    return np.uint16 if encoder(tokenizer).max_token_value < 1 << 16 else np.uint32
+
+
+def _tokenised(tokenizer: str, kind: type):
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch):
-                ids = [token_ids(tokenizer, t).astype(np.uint16).tobytes() if t else b"" for t in block.column("text").to_pylist()]
-                yield pa.record_batch([block.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                ids, size = block_ids(tokenizer, block.column("text"))
+                raw = pa.py_buffer(ids.astype(kind).tobytes())
+                off = pa.py_buffer(np.append(0, np.cumsum(size) * np.dtype(kind).itemsize).astype(np.int32).tobytes())
+                yield pa.record_batch([block.column("doc_id"), pa.Array.from_buffers(pa.binary(), len(size), [None, off, raw])], ["doc_id", "ids"])
 
     return tokenise
 
 
-def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _ids(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a binary column in a row, and how many each text has."""
-    parts = [np.frombuffer(b, np.uint16) for b in column.to_pylist()]
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint16)), np.array([len(p) for p in parts], np.int64)
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    ids = np.frombuffer(raw, np.uint8)[off[0] : off[-1]].view(kind) if raw is not None and off[-1] > off[0] else np.zeros(0, kind)
+    return ids, np.diff(off).astype(np.int64) // np.dtype(kind).itemsize
 
 
 def _token_blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield from blocks(batch, "ids", 1 << 19)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n): how often each id occurs; id = -1 has the number of windows."""
-    total, n_windows = np.zeros(1 << 16, np.int64), 0
-    for batch in batches:
-        for block in _token_blocks(batch):
-            ids, size = _ids(block.column("ids"))
-            total += np.bincount(ids, minlength=1 << 16)
-            n_windows += len(windows(size)[0])
-    at = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n_windows))], ["id", "n"])
+def _counted(kind: type, size: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for block in _token_blocks(batch):
+                total += np.bincount(_ids(block.column("ids"), kind)[0], minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["id", "n"])
+
+    return count
 
 
-def _sampled(every: int, chunks: int):
-    """Rows (key, ids, start, chunk): the ids of a window after the one before it, if the window does not start its text."""
+def _work(held, kind: type, rate: float, passes: int):
+    """Trains on the ids of a partition from the parameters held: rows (part, windows, sums) of ``_PART`` parameters times the windows, in units of 1 / ``_UNIT``."""
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, flat = held.value
+        model = Model(len(tree.ptr) - 1, flat=flat.copy())
+        adam, n = Adam(model, rate), 0
         for batch in batches:
-            for block in _token_blocks(batch):
-                ids, size = _ids(block.column("ids"))
-                doc, first = windows(size)
-                key = np.asarray(block.column("doc_id").fill_null(-1))[doc].astype(np.uint64)
-                h = mix(mix(key, 3) ^ first.astype(np.uint64), 4)
-                take = np.flatnonzero(h % np.uint64(every) == 0)
-                if len(take):
-                    h, doc, first = h[take], doc[take], first[take]
-                    base = (np.cumsum(size) - size)[doc]
-                    low, high = base + np.maximum(first - 1, 0), base + np.minimum(first + WINDOW, size[doc])
-                    cut = [ids[a:b].tobytes() for a, b in zip(low, high)]
-                    chunk = (mix(h, 5) % np.uint64(chunks)).astype(np.int32)
-                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(cut, pa.binary()), pa.array(first == 0), pa.array(chunk)], ["key", "ids", "start", "chunk"])
-
-    return sample
-
-
-def _windows_of(t: pa.Table, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and positions of the rows of ``_sampled``, as ``laid_out`` gives them for the whole texts."""
-    ids, size = _ids(t.column("ids"))
-    return laid_out(tree.word[ids], size, np.arange(len(size)), np.where(np.asarray(t.column("start")), 0, 1), len(tree.ptr) - 1)
-
-
-def fitted(tokens: DataFrame, every: int = SAMPLE_EVERY, per_worker: int = WINDOWS_PER_WORKER, rounds: int = ROUNDS) -> tuple[Tree, Model]:
-    """The tree over all ids of the corpus and the model trained on its windows, or one in ``every``."""
+            for k, block in enumerate(b for b in _token_blocks(batch) for _ in range(passes)):
+                ids, size = _ids(block.column("ids"), kind)
+                x, y, ok = laid_out(tree.word.take(ids), size, *windows(size, overlap=0), len(tree.ptr) - 1, overlap=0)
+                order = np.random.default_rng(n + k).permutation(len(x))  # a batch mixes documents
+                n += len(x)
+                for at in range(0, len(order), BATCH):
+                    some = order[at : at + BATCH]
+                    adam.step(x[some], y[some], ok[some], tree)
+        if n:
+            sums = np.rint(model.flat.astype(np.float64) * (n * _UNIT)).astype(np.int64)
+            at = range(0, len(sums), _PART)
+            yield pa.record_batch([pa.array(np.arange(len(at), dtype=np.int32)), pa.array([n] * len(at)), pa.array([sums[i : i + _PART].tobytes() for i in at], pa.binary())], ["part", "windows", "sums"])
+
+    return work
+
+
+PARTS = "part int, windows long, sums binary"
+
+
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PARTS`` added up by part as they come: a partition holds one row a part, however many workers there are."""
+    total: dict[int, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        for part, n, sums in zip(*(batch.column(c).to_pylist() for c in ("part", "windows", "sums"))):
+            n0, sums0 = total.get(part, (0, 0))
+            total[part] = n0 + n, sums0 + np.frombuffer(sums, np.int64)
+    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([s.tobytes() for _, s in total.values()], pa.binary())], ["part", "windows", "sums"])
+
+
+def mean_of(rows: DataFrame, parts: int) -> np.ndarray | None:
+    """The parameters' mean over workers, weighted by windows."""
+    done = sorted(zip(*rows.repartition(min(parts, rows.sparkSession.sparkContext.defaultParallelism), "part").mapInArrow(added, PARTS).toArrow().to_pydict().values()))
+    return np.concatenate([np.frombuffer(s, np.int64) / (n * _UNIT) for _, n, s in done]).astype(np.float32) if done else None
+
+
+def fitted(tokens: DataFrame, kind: type = np.uint16, size: int = 1 << 16, min_steps: int = MIN_STEPS, workers: int | None = None) -> tuple[Tree, Model]:
+    """The tree over all ids of the corpus and the model trained on all of them; ``tokens`` is a written table, each of whose files has one worker."""
     spark = tokens.sparkSession
-    counts = tokens.mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    n = -(-int(counts.loc[counts["id"] < 0, "n"].sum()) // every)
-    counts = counts[counts["id"] >= 0]
-    tree = huffman(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
+    counts = tokens.mapInArrow(_counted(kind, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    tree = huffman(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64), size)
     model = Model.start(tree)
     if len(counts) < 2:
         return tree, model
-    workers = max(1, min(spark.sparkContext.defaultParallelism, -(-n // per_worker)))
-    chunks = max(1, -(-n // (workers * per_worker)))
-    shared = saved(tokens.mapInArrow(_sampled(every, chunks), "key long, ids binary, start boolean, chunk int").repartition(chunks, "chunk"), "chunk")
-    for k in range(chunks * -(-rounds // chunks)):
+    files = sorted(tokens.inputFiles())
+    workers = workers or spark.sparkContext.defaultParallelism
+    rounds = [files[i : i + workers] for i in range(0, len(files), workers)]
+    steps = int(counts["n"].sum()) // (WINDOW * BATCH) * len(rounds) // len(files)  # of one worker after another
+    for i in range(len(rounds)):
         held = spark.sparkContext.broadcast((tree, model.flat))
-
-        def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            tree, flat = held.value
-            t = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("ids", pa.binary()), ("start", pa.bool_())])).sort_by("key")
-            if not t.num_rows:
-                return
-            own = Model(len(tree.ptr) - 1, flat=flat.copy())
-            own.train(*_windows_of(t, tree), tree)
-            at = range(0, len(own.flat), _BLOCK)
-            yield pa.record_batch([pa.array(np.arange(len(at))), pa.array([float(t.num_rows)] * len(at)), pa.array([own.flat[i : i + _BLOCK].tobytes() for i in at], pa.binary())], ["block", "weight", "part"])
-
-        def mean(group: pa.Table) -> pa.Table:
-            parts = sorted(zip(group.column("part").to_pylist(), group.column("weight").to_pylist()))  # in one order, so that a rerun sums alike
-            total = sum(w * np.frombuffer(part, np.float32).astype(float) for part, w in parts) / sum(w for _, w in parts)
-            return pa.table({"block": group.column("block").slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-        done = shared.where(F.col("chunk") == k % chunks).select("key", "ids", "start").repartition(workers, "key").mapInArrow(work, "block long, weight double, part binary").groupBy("block").applyInArrow(mean, "block long, part binary").toArrow().to_pandas().sort_values("block")
+        rows = spark.read.schema(tokens.schema).parquet(*rounds[i]).select("ids").mapInArrow(_work(held, kind, RATE / (1 + i) ** 0.5, max(1, min_steps // max(steps, 1))), PARTS)
+        flat = mean_of(rows, -(-len(model.flat) // _PART))
         held.unpersist()
-        if len(done):
-            model = Model(len(tree.ptr) - 1, flat=np.frombuffer(b"".join(done["part"]), np.float32).copy())
+        if flat is not None:
+            model = Model(len(tree.ptr) - 1, flat=flat)
     return tree, model
 
 
@@ -319,31 +376,33 @@ def document_losses(ids: np.ndarray, size: np.ndarray, tree: Tree, model: Model)
     out = np.zeros(len(size))
     if not len(tree.ptr) > 1:
         return out
-    words = tree.word[ids]
+    words = tree.word.take(ids)
     doc, first = windows(size)
     for at in range(0, len(doc), SCORE_BATCH):
         d, f = doc[at : at + SCORE_BATCH], first[at : at + SCORE_BATCH]
         x, y, ok = laid_out(words, size, d, f, len(tree.ptr) - 1)
-        loss, _ = model.losses(model.hidden(x)[0][ok], y[ok], tree)
+        loss = model.losses(model.hidden(x)[0][ok], y[ok], tree)
         out += np.bincount(np.broadcast_to(d[:, None], ok.shape)[ok], loss, minlength=len(size))
     return out
 
 
-def score(docs: DataFrame, tokenizer: str = TOKENIZER, every: int = SAMPLE_EVERY) -> DataFrame:
+def score(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens, log_loss, perplexity) for every row: the summed loss in nats, and exp of its mean.
 
     A null or empty text has no ids, loss 0 and a null perplexity.  Null and
-    repeated ``doc_id`` are answered row by row.  Whole texts are scored however
-    long.  An empty table gives no rows.  Other columns are not read.
+    repeated ``doc_id`` are answered row by row; equal texts have equal losses.
+    Whole texts are scored however long.  An empty table gives no rows.  Other
+    columns are not read.
     """
-    tokens = saved(only(docs, "doc_id", "text").mapInArrow(_tokenised(tokenizer), "doc_id long, ids binary"))
-    held = docs.sparkSession.sparkContext.broadcast(fitted(tokens, every))
+    kind = id_type(tokenizer)
+    tokens = saved(only(docs, "doc_id", "text").mapInArrow(_tokenised(tokenizer, kind), "doc_id long, ids binary"))
+    held = docs.sparkSession.sparkContext.broadcast(fitted(tokens, kind, encoder(tokenizer).max_token_value + 1))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, model = held.value
         for batch in batches:
             for block in _token_blocks(batch):
-                ids, size = _ids(block.column("ids"))
+                ids, size = _ids(block.column("ids"), kind)
                 loss = document_losses(ids, size, tree, model)
                 ppl = pa.array(np.exp(np.minimum(loss / np.maximum(size, 1), 700)), mask=size == 0)
                 yield pa.record_batch([block.column("doc_id"), pa.array(size.astype(np.int32)), pa.array(loss), ppl], ["doc_id", "n_tokens", "log_loss", "perplexity"])
