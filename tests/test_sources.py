@@ -77,6 +77,31 @@ def test_cache_and_errors(spark, tmp_path):
             ingest.ingest(spark, write(tmp_path / "bad.csv", bad), root)
 
 
+def test_a_folder_of_files_is_read_by_name_and_leaves_no_staging(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for i in range(5):
+        write(folder / f"part-{i}.csv", "".join(f"{k},{k}\n" for k in range(i * 10, i * 10 + 10)))
+    row, samples, _ = ingest.open_recording(spark, str(folder), str(tmp_path / "store"), 7)
+    assert row.first()["is_monotone"] and samples.where("row_id <> t").count() == 0 and samples.count() == 50
+    assert not os.listdir(tmp_path / "store/_staging")
+    before = ingest.fingerprint(spark, str(folder))
+    assert before == ingest.fingerprint(spark, str(folder))
+    write(folder / "part-5.csv", "50,50\n")
+    assert ingest.fingerprint(spark, str(folder)) != before
+
+
+def test_many_chunks_are_joined_instead_of_named(spark, tmp_path, monkeypatch):
+    from tracework.operators import scan
+
+    path = write(tmp_path / "m.csv", "".join(f"{i},{i}\n" for i in range(1000)))
+    _, samples, kept = ingest.open_recording(spark, path, str(tmp_path / "store"), 10)
+    s = Series(by=("recording_id",), chunk="chunk_id")
+    want = [scan.chunk_range(samples, kept, s, 95.0, 905.0).count(), stats.stats_from_chunks(samples, kept, s, ["ch0"], 95.0, 905.0).collect()]
+    monkeypatch.setattr(scan, "NAMED_CHUNKS", 1)
+    assert want == [scan.chunk_range(samples, kept, s, 95.0, 905.0).count(), stats.stats_from_chunks(samples, kept, s, ["ch0"], 95.0, 905.0).collect()] and want[0] == 811
+
+
 def test_range_reads_only_its_chunks(spark, tmp_path):
     from tracework.operators import scan
 

@@ -85,7 +85,7 @@ def test_entry_runs(spark):
 def test_queries_match_their_sql(spark):
     import duckdb
 
-    from tracework.plans import waveform
+    from tracework.plans import recordings, waveform
 
     folder = "/root/testdata/sf0.001"
     if not os.path.isdir(folder):
@@ -94,8 +94,9 @@ def test_queries_match_their_sql(spark):
     for t in ("events", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     text = lambda x: "" if x is None or x != x else repr(float(x) + 0.0) if isinstance(x, float) else str(x)
-    for name, query in waveform.QUERIES.items():
-        got, want = query(spark, folder).toPandas(), db.execute(waveform.ORACLE_SQL[name]).df()
+    sql = waveform.ORACLE_SQL | recordings.ORACLE_SQL
+    for name, query in (waveform.QUERIES | recordings.QUERIES).items():
+        got, want = query(spark, folder).toPandas(), db.execute(sql[name]).df()
         cols = sorted(got.columns)
         assert cols == sorted(want.columns), name
         rows = [sorted(tuple(map(text, r)) for r in x[cols].itertuples(index=False)) for x in (got, want)]

@@ -7,7 +7,7 @@ from enum import StrEnum
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..frame import Series, lagged, running_sum
+from ..frame import Series, join_on, lagged, running_sum
 
 EPSILON = 2.220446049250313e-16
 
@@ -98,12 +98,12 @@ class Registry:
         return channel.apply(df, s)
 
     def _with(self, df: DataFrame, s: Series, name: str) -> DataFrame:
-        """The table with a row-wise channel as a column."""
+        """The table with a channel as a column; a derivative stands at its later row, and at none that has no row before it."""
         channel = self.channels[name]
-        if channel.op in (Op.DERIVATIVE, Op.INTEGRAL):
-            own = channel.apply(df, s).select(*s.keys, s.row, F.col(s.v).alias(name))
-            return df.join(own, [*s.keys, s.row], "left")
         for source in (channel.a, channel.b):
             if source in self.channels and source not in df.columns:
                 df = self._with(df, s, source)
+        if channel.op in (Op.DERIVATIVE, Op.INTEGRAL):
+            own = channel.apply(df, s).select(*s.keys, s.row, F.col(s.v).alias(name))
+            return join_on(df, own, [*s.keys, s.row], "left")
         return df.withColumn(name, channel.column())

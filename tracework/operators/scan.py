@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..frame import Series, finite, join_on, numbered
 
 
+NAMED_CHUNKS = 10_000
+
+
 def time_range(df: DataFrame, s: Series, a: float, b: float) -> DataFrame:
     """Rows with ``a <= t <= b``; none if ``a >= b``.  NaN, infinite and null times never match."""
     if not a < b:
@@ -22,8 +25,16 @@ def chunk_range(samples: DataFrame, chunk_stats: DataFrame, s: Series, a: float,
     if not a < b:
         return samples.limit(0)
     hit = chunk_stats.where((F.col("t_max") >= float(a)) & (F.col("t_min") <= float(b))).select(s.chunk).distinct()
-    wanted = sorted(r[0] for r in hit.toLocalIterator())
-    return time_range(samples.where(F.col(s.chunk).isin(wanted)), s, a, b)
+    return time_range(of_chunks(samples, hit, s.chunk), s, a, b)
+
+
+def of_chunks(samples: DataFrame, wanted: DataFrame, chunk: str) -> DataFrame:
+    """The rows of the wanted chunks: up to ``NAMED_CHUNKS`` as a list that reaches the files, beyond it as the bounds of the list and a join."""
+    some = sorted(r[0] for r in wanted.select(chunk).distinct().limit(NAMED_CHUNKS + 1).collect())
+    if len(some) <= NAMED_CHUNKS:
+        return samples.where(F.col(chunk).isin(some))
+    low, high = wanted.agg(F.min(chunk), F.max(chunk)).first()
+    return samples.where(F.col(chunk).between(low, high)).join(wanted.select(F.col(chunk).alias("_wanted")).distinct(), F.col(chunk) == F.col("_wanted"), "left_semi")
 
 
 def channels(df: DataFrame, s: Series, names: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..frame import Series, finite, join_on
-from .scan import time_range
+from .scan import of_chunks, time_range
 
 PARTIAL = ("vmin", "vmax", "vsum", "vsumsq", "vcount")
 
@@ -65,8 +65,7 @@ def stats_from_chunks(samples: DataFrame, stats: DataFrame, s: Series, names: Se
     touched = (F.col("t_max") >= float(a)) & (F.col("t_min") <= float(b))
     inside = stats.where(whole).select(*keys, *PARTIAL)
     border = stats.where(touched & ~whole).select(*s.keys).distinct()
-    wanted = sorted({r[0] for r in border.select(s.chunk).toLocalIterator()})
-    edge = samples.where(F.col(s.chunk).isin(wanted)).join(F.broadcast(border), list(s.keys), "left_semi")
+    edge = of_chunks(samples, border, s.chunk).join(border, list(s.keys), "left_semi")
     read = time_range(edge, s, a, b).unpivot([*s.by], list(names), "ch", "_v").groupBy(*keys).agg(*partials("_v"))
     return finished(inside.unionByName(read).groupBy(*keys).agg(*merged()), keys)
 

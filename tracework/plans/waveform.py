@@ -175,12 +175,6 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.chunk_stats(df, s, ["v", "k"]).withColumns({"vsum": r("vsum", 4), "vsumsq": r("vsumsq", 2)})
 
 
-@query("stats_from_chunks", f"{_CHUNKED} SELECT ch, {_STATS} FROM two WHERE t BETWEEN {A} AND {B} GROUP BY ch HAVING count(v) >= 2")
-def stats_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, s = by_rows(spark, sf_dir)
-    return _rounded_stats(stats.stats_from_chunks(df, stats.chunk_stats(df, s, ["v", "k"]), s, ["v", "k"], A, B), "ch")
-
-
 @query("merged_stats", f"{EV} SELECT event_type, {_PARTIAL} FROM ev GROUP BY event_type")
 def merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, s = chunked(events(spark, sf_dir), TYPED, 16)
@@ -332,6 +326,12 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- edges ---------------------------------------------------------------
 
 _QUART = "q AS (SELECT event_type, max(v) FILTER (WHERE i = n // 4) AS q25, max(v) FILTER (WHERE i = 3 * n // 4) AS q75, any_value(n) AS n FROM (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM ev) GROUP BY event_type)"
+
+
+def _LEVELS_OF(ev: str) -> str:
+    return f"{ev}, {_QUART}"
+
+
 _TH = f"{EV}, {_QUART}, th AS (SELECT event_type, (q25 + q75) / 2 - (q75 - q25) * 0.10 AS lo, (q25 + q75) / 2 + (q75 - q25) * 0.10 AS hi FROM q), p AS (SELECT * FROM ({_lag()}) JOIN th USING (event_type))"
 
 
@@ -444,14 +444,22 @@ def eye_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eye.counters(_segments(spark, sf_dir)[1], TYPED)
 
 
-_GRID = f"""{_SEGS}, yr AS (SELECT event_type, min(v) - (max(v) - min(v)) * 0.05 AS y_lo, max(v) + (max(v) - min(v)) * 0.05 AS y_hi FROM ev GROUP BY event_type),
-  xy AS (SELECT event_type, seg, t_off, row_id, t_off / {WIDTH} * 64 AS x0, (v - y_lo) / (y_hi - y_lo) * 32 AS y0 FROM seg JOIN yr USING (event_type)),
+def _GRID_OF(ev: str, extra: str, hits: str, gx: int, gy: int, seg: str = "row_id") -> str:
+    """The cells ``g`` of the segments after the triggers ``hits``; ``extra`` has wd(w), the width."""
+    levels = f"{ev}, {_QUART}, th AS (SELECT event_type, (q25 + q75) / 2 - (q75 - q25) * 0.10 AS lo, (q25 + q75) / 2 + (q75 - q25) * 0.10 AS hi FROM q), p AS (SELECT * FROM ({_lag()}) JOIN th USING (event_type))"
+    return f"""{_schmitt("rising", th=levels)}{extra},
+  seg AS (SELECT h.event_type, h.{seg} AS seg, e.row_id, e.t - h.t AS t_off, e.v FROM {hits} h CROSS JOIN wd JOIN ev e ON h.event_type = e.event_type AND e.t < h.t + w AND (e.t > h.t OR (e.t = h.t AND e.row_id >= h.row_id))),
+  yr AS (SELECT event_type, min(v) - (max(v) - min(v)) * 0.05 AS y_lo, max(v) + (max(v) - min(v)) * 0.05 AS y_hi FROM ev GROUP BY event_type),
+  xy AS (SELECT event_type, seg, t_off, row_id, t_off / w * {gx} AS x0, (v - y_lo) / (y_hi - y_lo) * {gy} AS y0 FROM seg JOIN yr USING (event_type) CROSS JOIN wd),
   ln AS (SELECT *, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1 FROM xy WINDOW w AS (PARTITION BY event_type, seg ORDER BY t_off, row_id)),
   st AS (SELECT *, CAST(greatest(ceil(greatest(abs(x1 - x0), abs(y1 - y0))), 1) AS BIGINT) AS n FROM ln WHERE x1 IS NOT NULL),
   pt AS (SELECT event_type, x0 + i / n * (x1 - x0) AS fx, y0 + i / n * (y1 - y0) AS fy FROM st, LATERAL (SELECT unnest(generate_series(0, n)) AS i)),
   sp AS (SELECT event_type, floor(fx) AS xi, floor(fy) AS yi, fx - floor(fx) AS wx, fy - floor(fy) AS wy FROM pt),
   cell AS (SELECT event_type, xi AS x, yi AS y, (1 - wx) * (1 - wy) AS w FROM sp UNION ALL SELECT event_type, xi + 1, yi, wx * (1 - wy) FROM sp UNION ALL SELECT event_type, xi, yi + 1, (1 - wx) * wy FROM sp UNION ALL SELECT event_type, xi + 1, yi + 1, wx * wy FROM sp),
-  g AS (SELECT event_type, CAST(x AS INTEGER) AS x_bin, CAST(y AS INTEGER) AS y_bin, sum(w) AS weight FROM cell WHERE x BETWEEN 0 AND 63 AND y BETWEEN 0 AND 31 AND w > 0 GROUP BY ALL)"""
+  g AS (SELECT event_type, CAST(x AS INTEGER) AS x_bin, CAST(y AS INTEGER) AS y_bin, sum(w) AS weight FROM cell WHERE x BETWEEN 0 AND {gx - 1} AND y BETWEEN 0 AND {gy - 1} AND w > 0 GROUP BY ALL)"""
+
+
+_GRID = _GRID_OF(EV, f", wd AS (SELECT {WIDTH}::DOUBLE AS w)", "hit", 64, 32)
 
 
 def _eye_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,10 +522,10 @@ for _kind in spectrum.Taper:
 
 @query(
     "fft_rows",
-    _fft_sql("hanning", "linear").replace("FROM embeddings", "FROM embeddings WHERE vec_id < 50"),
+    _fft_sql("hanning", "linear"),
 )
 def fft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 50")
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = df.select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("row_id"), F.col("i").cast("double").alias("t"), F.col("v").cast("double").alias("v"))
     return spectrum.spectrum(rows, Series(by=("vec_id",))).where("k > 0").withColumn("mag", r("mag"))
 

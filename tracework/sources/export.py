@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..frame import Series
-from ..functions.units import scientific
 from ..operators.scan import time_range
 
 DIGITS = 15
 
 
+@F.pandas_udf(T.StringType())
+def _decimals(v: pd.Series) -> pd.Series:
+    """Rounded from the exact binary value, which the JVM's formatting, rounding the shortest decimal form, can't do."""
+    parts = (f"{x:.{DIGITS}e}".split("e") for x in v)
+    return pd.Series([f"{x[0]}e{int(x[1])}" if len(x) > 1 else "" for x in parts], index=v.index)
+
+
 def exact(c: Column) -> Column:
     """Scientific form with fifteen decimals that reads back as a number; ``NaN``, ``inf`` and ``-inf``; empty for null."""
-    text = F.when(F.isnan(c), "NaN").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(scientific(c, DIGITS))
+    text = F.when(F.isnan(c), "NaN").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(_decimals(c))
     return F.coalesce(text, F.lit(""))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..frame import Series, finite, lagged, numbered
 from ..operators.stats import chunk_stats
+from ..shared import hadoop_path
 
 ROWS_PER_CHUNK = 100_000
 CHUNKS_PER_BUCKET = 64
@@ -28,9 +29,9 @@ def recording_id(path: str) -> str:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, _block, _at): lines without their line ends, and their place in the file."""
+    """(value, _block, _at): lines without their line ends, and their place in the file, or in a folder's files by name."""
     raw = spark.read.option("lineSep", "\n").text(path)
-    return raw.select(F.regexp_replace("value", r"\r$", "").alias("value"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return raw.select(F.regexp_replace("value", r"\r$", "").alias("value"), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
 
 
 def count_columns(spark: SparkSession, path: str) -> int:
@@ -53,9 +54,10 @@ def parse_lines(text: DataFrame, n_cols: int, keep: Sequence[str] = ()) -> DataF
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """Hash of the path, sizes and times of change of the file or files."""
-    rows = spark.read.option("lineSep", "\n").text(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    return hashlib.sha256(repr(sorted(map(tuple, rows.toLocalIterator()))).encode()).hexdigest()
+    """Hash of the path, sizes and times of change of the file or a folder's files, as the file system tells them: no line is read."""
+    system, place = hadoop_path(spark, path)
+    files = [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in system.listStatus(place) if not x.getPath().getName().startswith(("_", "."))]
+    return hashlib.sha256(repr(sorted(files)).encode()).hexdigest()
 
 
 def ingest(spark: SparkSession, path: str, root: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
@@ -92,6 +94,7 @@ def ingest(spark: SparkSession, path: str, root: str, rows_per_chunk: int = ROWS
         F.lit(path).alias("source_path"), F.lit(fingerprint(spark, path)).alias("fingerprint"), "n_rows", F.lit(skipped).cast("long").alias("n_skipped"), F.lit(n_cols).alias("n_cols"),
         F.array(*(F.lit(f"column_{i + 1}") for i in range(n_cols))).alias("columns"), "x_min", "x_max", "n_chunks", F.lit(rows_per_chunk).cast("long").alias("rows_per_chunk"), F.lit(not falls).alias("is_monotone"), "recording_id",
     )
+    hadoop_path(spark, staged)[0].delete(hadoop_path(spark, staged)[1], True)
     told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recording_id").parquet(f"{root}/recordings")
     return recordings(spark, root).where(F.col("recording_id") == name)
 
@@ -119,8 +122,7 @@ def open_recording(spark: SparkSession, path: str, root: str, rows_per_chunk: in
 
 
 def _known(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/recordings/recording_id={name}")
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    system, folder = hadoop_path(spark, f"{root}/recordings/recording_id={name}")
+    if not system.exists(folder):
         return None
     return recordings(spark, root).where(F.col("recording_id") == name)
