@@ -1,28 +1,13 @@
-"""Tables kept between jobs, in the folder that all executors share.
-
-The folder is the session's ``spark.checkpoint.dir``.  Only a local session
-that names none (a test) gets a folder of its own; on a cluster a missing
-setting is an error, because a machine-local folder is lost with its machine.
-"""
+"""Tables kept between jobs, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tracework-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+from ..shared import hadoop_path, shared_dir
 
 
 def saved(df: DataFrame, *by: str) -> DataFrame:
@@ -31,15 +16,21 @@ def saved(df: DataFrame, *by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tracework-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(df: DataFrame | None) -> None:
+    """Removes a table that ``saved`` gave, once nothing reads it any more; other tables are left as they are."""
+    if df is not None and hasattr(df, "_saved_at"):
+        _remove(df.sparkSession, df._saved_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        if spark.sparkContext._jsc is None:
-            return
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if spark.sparkContext._jsc is not None:
+            system, place = hadoop_path(spark, path)
+            system.delete(place, True)
     except Exception:  # the session has ended; its folder goes with it
         pass
