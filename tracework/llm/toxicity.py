@@ -1,13 +1,23 @@
 """Toxicity scores from an induced lexicon (operator 7).
 
 Seeds are the terms that the labels mark most strongly as toxic or as clean on
-a bounded labelled sample, in which near copies count once.  Over the whole corpus, the words found near toxic
-seeds more often than chance (positive pointwise mutual information) become,
-with all seeds, the nodes of a graph whose edges are the positive PMI of two nodes within ``window`` words.
+a bounded labelled sample, in which near copies count once.  Over the whole
+corpus, the words found near toxic seeds more often than chance (positive
+pointwise mutual information, of counts over all documents) become, with all
+seeds, the nodes of a graph whose edges are the positive PMI of two nodes within
+``window`` words.  No minimum depends on the size of the corpus.  That copies of
+one passage don't make its words nodes, a word must be met in many contexts: each
+toxic seed with the two words on either side of it sets one of 64 bits for the
+words around it, and ``MIN_CONTEXTS`` bits must be set.  All counts are sums and
+unions over occurrences, so that they don't depend on how the rows are cut.
+
 One random walk restarts at the toxic seeds, one at the clean ones; the
 difference of the two visiting frequencies over their sum, shrunk by the visits
-that a seed usually has from the others, is a term's polarity.  A document scores the polarity of its distinct
-terms above ``MIN_POLARITY``; the threshold is set on the labelled sample.
+that a seed usually has from the others, is a term's polarity.  A document scores
+the polarity of its distinct terms above ``MIN_POLARITY``; the threshold is set on
+the labelled sample.  The graph is walked on the driver up to ``DRIVER_EDGES`` edges;
+a larger one stays a table, and each step sends the visits out and sums them up
+by node, in whole units of ``_UNIT`` so that both ways agree.
 """
 
 from __future__ import annotations
@@ -16,25 +26,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .dedup import near_duplicates
 from .storage import saved
-from .text import Words, blocks, documents, only, words
+from .text import Words, blocks, documents, mix, only, words
 
 #: Labelled rows used for seeds and threshold at most, drawn by a hash of ``doc_id``.
 TRAIN_ROWS = 20_000
-#: What a toxic seed needs: labelled documents that hold it, the root of its log likelihood ratio, and its share of toxic ones.
+#: What a seed needs: labelled documents that hold it, the root of its log likelihood ratio, and for a toxic one its share of toxic ones.
 SEED_DOCS = 5
 SEED_Z = 4.5
 SEED_PRECISION = 0.6
-MAX_CLEAN_SEEDS = 50
+CLEAN_Z = 3.0
 WINDOW = 25
-#: What a node needs: times near a toxic seed, distinct toxic seeds (words of one copied text meet few), and PMI in bits.
+#: What a node needs: times near a toxic seed, bits set of 64 by the contexts (some 18 distinct ones), and PMI in bits.
 MIN_NEAR = 20
-MIN_SEEDS = 5
+MIN_CONTEXTS = 16
 MIN_PMI = 3.0
 #: Times that two nodes must stand together to be joined, and their PMI in bits.
 MIN_EDGE = 3
@@ -44,6 +53,10 @@ STEPS = 30
 #: Polarity is shrunk by this many times the visits that a seed usually has from the others, so that a rarely visited term has little.
 SHRINK = 2.0
 MIN_POLARITY = 0.4
+#: Edges walked on the driver, and candidate words whose counts are broadcast; beyond either, the work stays in tables.
+DRIVER_EDGES = 2_000_000
+BROADCAST_WORDS = 2_000_000
+_UNIT = 2.0**50
 
 
 @dataclass
@@ -118,172 +131,257 @@ def seeds(sample: DataFrame) -> tuple[list[str], list[str]]:
     z = F.signum(a * n0 - b * n1) * F.sqrt(F.greatest(2 * g, F.lit(0.0)))
     t = counts.select("term", z.alias("z"), ((F.col("all_a") + 0.5) / (F.col("all_a") + F.col("all_b") + 1)).alias("precision")).where(F.abs("z") >= 2.0).toArrow().to_pandas().sort_values(["z", "term"])
     up = t[(t["z"] >= SEED_Z) & (t["precision"] >= SEED_PRECISION)]
-    down = t[t["z"] < 0].head(MAX_CLEAN_SEEDS)
+    down = t[t["z"] <= -CLEAN_Z]
     return sorted(up["term"]), sorted(down["term"])
 
 
+def _contexts(w: Words, place: np.ndarray) -> np.ndarray:
+    """A hash of the words at the places with the two words on either side of each, within its text."""
+    h = np.zeros(len(place), np.uint64)
+    for step in (-2, -1, 0, 1, 2):
+        at = np.clip(place + step, 0, len(w.hash) - 1)
+        h = mix(h ^ np.where(w.doc[at] == w.doc[place], w.hash[at], 0), step + 2)
+    return h
+
+
 def _near(seeds: np.ndarray, window: int):
-    """Rows (h, near, which, n): how often a word stands near seeds, a bitmap of which, and how often it occurs in blocks where it does; h = null has the sums over all words."""
+    """Rows (h, near, contexts): how often a word stands near seeds, and the bits of the seeds' contexts; h = null has the sum over all words."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "near", "which", "n"]
-        mass = total = 0
+        names = ["h", "near", "contexts"]
+        mass = 0
         for batch in batches:
             for block in blocks(batch):
                 w = words(block.column("text"))
                 at = lookup(seeds, w.hash)
-                total += len(w.hash)
                 hit = np.flatnonzero(at >= 0)
                 if not len(hit):
                     continue
+                bit = np.uint64(1) << (_contexts(w, hit) >> np.uint64(58))
                 low, high = np.maximum(hit - window, w.ptr[w.doc[hit]]), np.minimum(hit + window + 1, w.ptr[w.doc[hit] + 1])
                 size = high - low
-                seed = np.repeat(at[hit], size)
-                place = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(len(seed))
-                other = w.hash[place] != seeds[seed]
-                h, seed = w.hash[place[other]], seed[other]
+                place = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                other = w.hash[place] != np.repeat(w.hash[hit], size)
+                h, bits = w.hash[place[other]], np.repeat(bit, size)[other]
                 if not len(h):
                     continue
                 mass += len(h)
                 order = np.argsort(h, kind="stable")
                 begin = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-                u = h[order][begin]
-                which = np.bitwise_or.reduceat((np.uint64(1) << (seed % 63).astype(np.uint64))[order], begin)
-                found = lookup(u, w.hash)
-                yield pa.record_batch([pa.array(x) for x in (u.view(np.int64), np.diff(np.append(begin, len(h))), which.view(np.int64), np.bincount(found[found >= 0], minlength=len(u)))], names)
-        yield pa.record_batch([pa.array([x], pa.int64()) for x in (None, mass, 0, total)], names)
+                yield pa.record_batch([pa.array(x) for x in (h[order][begin].view(np.int64), np.diff(np.append(begin, len(h))), np.bitwise_or.reduceat(bits[order], begin).view(np.int64))], names)
+        yield pa.record_batch([pa.array([x], pa.int64()) for x in (None, mass, 0)], names)
 
     return near
 
 
+def _occurrences(known: np.ndarray | None):
+    """Rows (h, n): how often each known word, or else every word, occurs; h = null has the number of words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0, np.zeros(0 if known is None else len(known), np.int64)
+        for batch in batches:
+            for block in blocks(batch):
+                h = words(block.column("text")).hash
+                total += len(h)
+                if known is not None:
+                    at = lookup(known, h)
+                    n += np.bincount(at[at >= 0], minlength=len(n))
+                elif len(h):
+                    u, times = np.unique(h, return_counts=True)
+                    yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(times)], ["h", "n"])
+        own = np.flatnonzero(n)
+        yield pa.record_batch([pa.array([None, *(known[own].view(np.int64).tolist() if len(own) else ())], pa.int64()), pa.array(np.append(total, n[own]))], ["h", "n"])
+
+    return count
+
+
 def _edges(known: np.ndarray, window: int):
-    """Rows (a, b, n, term): pairs of nodes within ``window`` words; b = -1 has a node's own count, b = -2 the number of words, a term its spelling."""
+    """Rows (key, n, term): pairs of nodes a <= b within ``window`` words under a * v + b; under -1 - a a node's own count and spelling."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, single, total, spelled, kept = len(known), np.zeros(len(known), np.int64), 0, {}, []
-        size = 0
+        v, single, spelled, kept, size = len(known), np.zeros(len(known), np.int64), {}, [], 0
+        unseen = np.ones(v, bool)
 
-        def flush():
-            nonlocal kept, size
-            if not kept:
-                return []
-            k, inv = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
-            kept, size = [(k, np.bincount(inv, np.concatenate([n for _, n in kept])).astype(np.int64))], len(k)
-            return kept
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            key, n = map(np.concatenate, zip(*kept))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            return key[begin], np.add.reduceat(n[order], begin)
 
         for batch in batches:
             for block in blocks(batch):
                 w = words(block.column("text"))
-                total += len(w.hash)
                 at = lookup(known, w.hash)
                 place = np.flatnonzero(at >= 0)
                 node, doc = at[place], w.doc[place]
                 single += np.bincount(node, minlength=v)
-                for x in np.unique(node):
-                    if x not in spelled:
-                        spelled[x] = w.string(place[np.flatnonzero(node == x)[0]])
+                new, first = np.unique(node[unseen[node]], return_index=True)
+                for x, i in zip(new.tolist(), place[unseen[node]][first].tolist()):
+                    spelled[x] = w.string(i)
+                unseen[new] = False
                 for k in range(1, window + 1):
                     ok = np.flatnonzero((doc[k:] == doc[:-k]) & (place[k:] - place[:-k] <= window)) if len(place) > k else np.zeros(0, np.int64)
                     if not len(ok):
                         break
                     a, b = node[ok], node[ok + k]
-                    key, n = np.unique(np.minimum(a, b) * v + np.maximum(a, b), return_counts=True)
-                    kept.append((key, n))
-                    size += len(key)
+                    kept.append((np.minimum(a, b) * v + np.maximum(a, b), np.ones(len(a), np.int64)))
+                    size += len(a)
                 if size > 4_000_000:
-                    flush()
-        for key, n in flush():
+                    kept = [merged()]
+                    size = len(kept[0][0])
+        if kept:
+            key, n = merged()
             for i in range(0, len(key), 100_000):
                 k = key[i : i + 100_000]
-                yield pa.record_batch([pa.array(k // v), pa.array(k % v), pa.array(n[i : i + 100_000]), pa.nulls(len(k), pa.string())], ["a", "b", "n", "term"])
-        x = np.array(sorted(spelled), np.int64)
-        yield pa.record_batch([pa.array(np.append(x, 0)), pa.array(np.append(np.full(len(x), -1), -2)), pa.array(np.append(single[x], total)), pa.array([*(spelled[i] for i in x), None], pa.string())], ["a", "b", "n", "term"])
+                yield pa.record_batch([pa.array(k), pa.array(n[i : i + 100_000]), pa.nulls(len(k), pa.string())], ["key", "n", "term"])
+        x = np.flatnonzero(single)
+        yield pa.record_batch([pa.array(-1 - x), pa.array(single[x]), pa.array([spelled[i] for i in x.tolist()], pa.string())], ["key", "n", "term"])
 
     return edges
 
 
-def walk(n: int, a: np.ndarray, b: np.ndarray, go: np.ndarray, back: np.ndarray, start: np.ndarray, restart: float = RESTART, steps: int = STEPS) -> np.ndarray:
-    """Visiting frequencies of a random walk that restarts at ``start``: it goes from a to b with probability ``go``, from b to a with ``back``, and else stays."""
-    src, dst, p = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([go, back])
-    stay = 1 - np.bincount(src, p, n)
-    p0 = start / start.sum()
-    at = p0
-    for _ in range(steps):
-        at = restart * p0 + (1 - restart) * (at * stay + np.bincount(dst, at[src] * p, n))
-    return at
+def pushed(x: np.ndarray, a: np.ndarray, b: np.ndarray, go: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """What the columns of x [v, k] send along edges a - b, in whole units of 1 / ``_UNIT``."""
+    v = len(x)
+    return np.stack([np.rint((np.bincount(b, y[a] * go, v) + np.bincount(a, y[b] * back, v)) * _UNIT).astype(np.int64) for y in x.T], axis=1)
+
 
+@dataclass
+class Graph:
+    """Edges (a, b, n) between nodes with their own counts ``single``: arrays, or a written table where they are many."""
+
+    single: np.ndarray
+    total: int
+    window: int
+    edges: object
+
+    def over(self, f, names: tuple[str, ...]) -> list[np.ndarray]:
+        """f(a, b, n) -> columns, added up by the first one (a node) over all edges."""
+        if not isinstance(self.edges, DataFrame):
+            return list(f(*self.edges))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = [[np.asarray(x.column(c)) for c in ("a", "b", "n")] for x in batches]
+            if t:
+                columns = f(*map(np.concatenate, zip(*t)))
+                yield pa.record_batch([pa.array(c) for c in columns], list(names))
+
+        schema = ", ".join(f"{c} long" for c in names)
+        got = self.edges.mapInArrow(part, schema).groupBy(names[0]).agg(*(F.sum(c).alias(c) for c in names[1:])).toArrow()
+        return [got.column(c).to_numpy() for c in names]
+
+    def walks(self, starts: np.ndarray, restart: float = RESTART, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+        """Visits [v, k] of walks that restart at the columns of ``starts``, and what a last step brings each node.
+
+        A step's probability is the other word's share of the word's contexts, by how far it beats chance; contexts outside the graph keep the walk where it is.
+        """
+        v, single, total, window = len(self.single), self.single, self.total, self.window
+
+        def flow(a, b, n):  # PMI in bits, and how much of a node's contexts the edge is, by how far it beats chance
+            pmi = np.log2(n * total / (2.0 * window * single[a] * single[b]))
+            return pmi, n * pmi / (2.0 * window)
+
+        def sums(x, scale):
+            def f(a, b, n):
+                w = flow(a, b, n)[1]
+                out = pushed(x, a, b, w / (single[a] * scale[a]), w / (single[b] * scale[b]))
+                at = np.flatnonzero(out.any(1))
+                return at, *out[at].T
+
+            at, *columns = self.over(f, ("node", *(f"c{k}" for k in range(x.shape[1]))))
+            out = np.zeros((v, x.shape[1]))
+            out[at] = np.stack(columns, axis=1) / _UNIT
+            return out
+
+        def leaving(a, b, n):  # what a node sends, before it is scaled to one at most
+            w = flow(a, b, n)[1]
+            out = np.rint((np.bincount(a, w / single[a], v) + np.bincount(b, w / single[b], v)) * 2.0**32).astype(np.int64)
+            at = np.flatnonzero(out)
+            return at, out[at]
+
+        def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                yield pa.record_batch([pa.array([flow(*(np.asarray(x.column(c)) for c in ("a", "b", "n")))[0].max(initial=0.0)])], ["top"])
+
+        top = (self.edges.mapInArrow(strongest, "top double").agg(F.max("top")).first()[0] or 0) if isinstance(self.edges, DataFrame) else flow(*self.edges)[0].max(initial=0.0)
+        top = max(float(top), 1.0)
+        at, out = self.over(leaving, ("node", "out"))
+        send = np.zeros(v)
+        send[at] = out / 2.0**32 / top
+        scale = np.maximum(send, 1.0)
+        stay = 1 - send / scale
+        p0 = starts / np.maximum(starts.sum(0), 1)
+        x = p0
+        for _ in range(steps):
+            x = restart * p0 + (1 - restart) * (x * stay[:, None] + sums(x, scale * top))
+        return x, sums(x, scale * top)
+
+
+def graph(docs: DataFrame, nodes: np.ndarray, window: int = WINDOW, total: int | None = None, driver_edges: int = DRIVER_EDGES) -> tuple[Graph, list[str]]:
+    """The positive PMI graph of the nodes (sorted hashes) over all documents, and their spellings."""
+    v = len(nodes)
+    rows = saved(docs.mapInArrow(_edges(nodes, window), "key long, n long, term string").groupBy("key").agg(F.sum("n").alias("n"), F.min("term").alias("term")).where(f"key < 0 or n >= {MIN_EDGE}"))
+    own = rows.where("key < 0").toArrow()
+    single, terms = np.ones(v, np.int64), [""] * v
+    at = -1 - own.column("key").to_numpy()
+    single[at] = own.column("n").to_numpy()
+    for i, t in zip(at.tolist(), own.column("term").to_pylist()):
+        terms[i] = t
+    if total is None:
+        total = docs.mapInArrow(_occurrences(np.zeros(0, np.uint64)), "h long, n long").agg(F.sum("n")).first()[0] or 0
+    held = docs.sparkSession.sparkContext.broadcast(single)
+    least = 2.0**MIN_EDGE_PMI * 2.0 * window / max(total, 1)
 
-def induce(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, window: int = WINDOW) -> Lexicon:
+    def strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = np.asarray(batch.column("key")), np.asarray(batch.column("n"))
+            a, b = key // v, key % v
+            ok = np.flatnonzero((a != b) & (n >= least * held.value[a] * held.value[b]))
+            yield pa.record_batch([pa.array(x[ok]) for x in (a, b, n)], ["a", "b", "n"])
+
+    edges = saved(rows.where("key >= 0").mapInArrow(strong, "a long, b long, n long"))
+    if edges.count() > driver_edges:
+        return Graph(single, total, window, edges), terms
+    t = edges.orderBy("a", "b").toArrow()
+    return Graph(single, total, window, tuple(t.column(c).to_numpy() for c in ("a", "b", "n"))), terms
+
+
+def polarities(g: Graph, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Polarity of each node from the walks of the toxic and the clean seeds (places of nodes)."""
+    starts = np.zeros((len(g.single), 2))
+    starts[toxic, 0] = 1
+    starts[clean, 1] = 1
+    visits, came = g.walks(starts)
+    t, c = visits.T
+    usual = np.median(came[toxic, 0]) * (1 - RESTART) / RESTART  # what a toxic term gets from the others
+    return (t - c) / (t + c + SHRINK * usual + 1e-30)
+
+
+def induce(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, window: int = WINDOW, driver_edges: int = DRIVER_EDGES, broadcast_words: int = BROADCAST_WORDS) -> Lexicon:
     """The lexicon of a corpus; empty if the labels mark nothing."""
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text")
     sample = saved(_labelled(docs, labels, train_rows))
-    copies = near_duplicates(sample).select(F.col("doc_id").alias("_copy"))  # else the words of a copied text would look like seeds
+    copies = near_duplicates(sample).select(F.col("doc_id").alias("_copy"))  # ids of the sample; else the words of a copied text would look like seeds
     sample = sample.join(F.broadcast(copies), sample["doc_id"] == copies["_copy"], "left").select("text", "toxic", F.col("_copy").isNotNull().alias("copy"))
     toxic, clean = seeds(sample)
     if not toxic:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), [], np.inf)
-    h = words(pa.array([*toxic, *clean], pa.string())).hash
-    order = np.argsort(h)
-    known, side = h[order], np.array([0] * len(toxic) + [1] * len(clean))[order]
-    near = docs.mapInArrow(_near(known[side == 0], window), "h long, near long, which long, n long")
-    near = saved(near.groupBy("h").agg(F.sum("near").alias("near"), F.bit_or("which").alias("which"), F.sum("n").alias("n")))
-    mass = near.where("h is null").first()
-    # n leaves out blocks where the word is near no seed, so that this bound is met by all words that truly meet it
-    chance = 2.0**MIN_PMI * mass["near"] / max(mass["n"], 1)
-    fits = (F.col("near") >= MIN_NEAR) & (F.bit_count("which") >= min(MIN_SEEDS, len(toxic))) & (F.col("near") / F.col("n") >= chance)
-    chosen = near.where(F.col("h").isNotNull() & fits).select("h").toArrow().to_pandas()["h"].to_numpy(np.int64).view(np.uint64)
-    nodes = np.unique(np.concatenate([known, chosen]))
-    rows = saved(docs.mapInArrow(_edges(nodes, window), "a long, b long, n long, term string").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("term").alias("term")).where((F.col("b") < 0) | ((F.col("n") >= MIN_EDGE) & (F.col("a") != F.col("b")))))
-    rows = pd.concat([rows.where("b < 0").toArrow().to_pandas(), _joined(rows, len(nodes), window).toArrow().to_pandas()])
-    return _lexicon(nodes, known, side, rows, window)
-
-
-def _joined(rows: DataFrame, v: int, window: int) -> DataFrame:
-    """The pairs that ``_lexicon`` keeps as edges, or might but for rounding: the others, most of all pairs, do not go to the driver."""
-    t = rows.where("b < 0").select("a", "b", "n").toArrow().to_pandas()
-    single, own = np.ones(v), t[t["b"] == -1]
-    single[own["a"].to_numpy()] = own["n"].to_numpy()
-    least = 2.0**MIN_EDGE_PMI * (1 - 1e-9) * 2.0 * window / max(float(t[t["b"] == -2]["n"].sum()), 1.0)
-    held = rows.sparkSession.sparkContext.broadcast(single)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n = (np.asarray(batch.column(c)) for c in ("a", "b", "n"))
-            yield batch.take(pa.array(np.flatnonzero(n >= least * held.value[a] * held.value[b])))
-
-    return rows.where("b >= 0").mapInArrow(join, rows.schema)
-
-
-def _lexicon(nodes: np.ndarray, known: np.ndarray, side: np.ndarray, rows, window: int) -> Lexicon:
-    v = len(nodes)
-    terms = [""] * v
-    single = np.ones(v)
-    own = rows[rows["b"] == -1]
-    single[own["a"].to_numpy()] = own["n"].to_numpy()
-    for i, t in zip(own["a"], own["term"]):
-        terms[i] = t
-    total = float(rows[rows["b"] == -2]["n"].sum())
-    pair = rows[(rows["b"] >= 0) & (rows["a"] != rows["b"])].sort_values(["a", "b"])
-    a, b, n = (pair[c].to_numpy() for c in ("a", "b", "n"))
-    ppmi = np.maximum(np.log2(n * total / (2.0 * window * single[a] * single[b])), 0.0) if len(a) else np.zeros(0)
-    strong = ppmi >= MIN_EDGE_PMI
-    a, b, n, ppmi = a[strong], b[strong], n[strong], ppmi[strong]
-    # a step's probability: the other word's share of the word's contexts, by how far it beats chance; contexts outside the graph keep the walk where it is
-    flow = n * ppmi / max(ppmi.max(initial=0.0), 1.0) / (2.0 * window)
-    go, back = flow / single[a], flow / single[b]
-    out = np.maximum(np.bincount(a, go, v) + np.bincount(b, back, v), 1.0)
-    go, back = go / out[a], back / out[b]
-    place = np.searchsorted(nodes, known)
-    visits = []
-    for s in (0, 1):
-        start = np.zeros(v)
-        start[place[side == s]] = 1
-        visits.append(walk(v, a, b, go, back, start) if start.any() else np.zeros(v))
-    t, c = visits
-    came = np.bincount(b, t[a] * go, v) + np.bincount(a, t[b] * back, v)
-    usual = np.median(came[place[side == 0]]) * (1 - RESTART) / RESTART  # what a toxic term gets from the others
-    return Lexicon(nodes, (t - c) / (t + c + SHRINK * usual + 1e-30), terms)
+    up, down = (np.unique(words(pa.array(x, pa.string())).hash) for x in (toxic, clean))
+    near = saved(docs.mapInArrow(_near(up, window), "h long, near long, contexts long").groupBy("h").agg(F.sum("near").alias("near"), F.bit_or("contexts").alias("contexts")))
+    mass = near.where("h is null").first()["near"]
+    met = near.where(F.col("h").isNotNull() & (F.col("near") >= MIN_NEAR) & (F.bit_count("contexts") >= MIN_CONTEXTS))
+    known = None
+    if met.count() <= broadcast_words:
+        known = np.sort(met.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    counts = saved(docs.mapInArrow(_occurrences(known), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    total = counts.where("h is null").first()["n"]
+    chance = 2.0**MIN_PMI * mass / max(total, 1)
+    chosen = met.join(counts, "h").where(F.col("near") >= chance * F.col("n")).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    nodes = np.unique(np.concatenate([up, down, chosen]))
+    g, terms = graph(docs, nodes, window, total, driver_edges)
+    return Lexicon(nodes, polarities(g, np.searchsorted(nodes, up), np.searchsorted(nodes, down)), terms)
 
 
 def calibrated(lexicon: Lexicon, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lexicon:
@@ -312,7 +410,8 @@ def score(docs: DataFrame, labels: DataFrame, lexicon: Lexicon | None = None) ->
     """(doc_id, score, toxic) for every row.
 
     A text without a lexicon term - also a null or empty one - scores 0 and is not
-    toxic.  Null and repeated ``doc_id`` are answered row by row.  Without labels
+    toxic; equal texts score alike, and very long ones are read whole.  Null and
+    repeated ``doc_id`` are answered row by row.  Without labels
     of both kinds, or without a term that they mark, all scores are 0.  An empty
     table gives no rows.  Other columns are not read.
     """
