@@ -84,3 +84,16 @@ def test_answers_are_matched_too(spark):
     items = spark.createDataFrame([(1, "what is it that is asked here", "an answer of several words")], "item_id long, question string, answer string")
     docs = documents(spark, [(1, "is an answer of several words then"), (2, "so what is it that is asked here")])
     assert [r[0] for r in result(dc.contaminated_spans(docs, items, columns=("question", "answer")), "doc_id")] == [1, 2]
+
+
+def test_texts_of_one_item_merge_and_one_word_is_an_answer(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h", "c d e f", "h i j k", "Paris!"), (2, None, "", "forty two", "h i j k")], "item_id long, q string, a string, b string, c string")
+    text = "x a b c d e f g h i j k then parisian (PARIS) forty two"
+    docs = documents(spark, [(1, text), (2, "paris-forty twofold")])
+    got = result(dc.contaminated_spans(docs, items, columns=("q", "a", "b", "c")), "doc_id", "item_id", "start")
+    assert [(d, i, text[a:b] if d == 1 else None, n) for d, i, a, b, n in got] == [(1, 1, "a b c d e f g h i j k", 11), (1, 1, "PARIS", 1), (1, 2, "h i j k", 4), (1, 2, "forty two", 2), (2, 1, None, 1)]
+
+
+def test_a_short_answer_alone_drops_nothing(spark):
+    docs = documents(spark, [(1, "too short to tell"), (2, "four words are enough here")])
+    assert [r["doc_id"] for r in dc.drop_contaminated(docs, benchmark(spark)).collect()] == [1]

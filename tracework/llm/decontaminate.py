@@ -22,7 +22,10 @@ from pyspark.sql import DataFrame
 from .text import blocks, documents, only, utf8, word_bytes
 
 NGRAM = 8
-MIN_WORDS = 4
+#: Shorter item texts give no pattern; at 1 even a one-word answer is matched, whole and between word borders.
+MIN_WORDS = 1
+#: Words of a passage from which a document counts as contaminated: shorter answers stand in any text by chance.
+DROP_WORDS = 4
 #: Pattern text one automaton holds; a larger benchmark is scanned in slices of this size.
 SLICE_BYTES = 16 << 20
 
@@ -106,7 +109,9 @@ def spans(doc_ids: np.ndarray, texts: pa.Array, automaton: ahocorasick.Automaton
     d, i, b, e = np.array(rows, np.int64).T
     order = np.lexsort((b, i, d))
     d, i, b, e = d[order], i[order], b[order], e[order]
-    new = np.append(True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] > e[:-1]))
+    group = np.append(0, np.cumsum((d[1:] != d[:-1]) | (i[1:] != i[:-1]))) * (len(norm) + 1)
+    upto = np.maximum.accumulate(e + group)  # the furthest end so far in the same text and item
+    new = np.append(True, (b + group)[1:] > upto[:-1])
     first = np.flatnonzero(new)
     d, i, b, e = d[first], i[first], b[first], np.maximum.reduceat(e, first)
     begins = (data & 0xC0) != 0x80
@@ -123,8 +128,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM
     ``columns`` names the item's texts (question, answers, ...), each matched on
     its own.  Offsets count characters of the document's text, end exclusive.
     Null and empty texts, rows with a null ``doc_id`` and items with a null id
-    give nothing; so do item texts of fewer than ``min_words`` words, which any
-    text may hold by chance.  Equal rows of the table give their spans once.
+    give nothing; so do item texts of fewer than ``min_words`` words.  Item texts
+    shorter than ``ngram`` words, as answers are, match whole; overlapping passages
+    of one item are one span.  Very long texts are scanned whole.  Equal rows of the
+    table give their spans once, and an item that several rows repeat counts once.
     An empty table on either side gives no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
@@ -147,9 +154,15 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM
     return hits.distinct()
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that hold no passage of a test item, with the columns they came with; texts are filtered where they are, without a join."""
-    for part in slices_of(benchmark):
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = DROP_WORDS) -> DataFrame:
+    """The rows that hold no passage of a test item of at least ``min_words`` words, with the columns they came with.
+
+    Texts are filtered where they are, without a join.  Rows with a null or empty
+    text and a null ``doc_id`` stay, rows that repeat another go or stay with it,
+    very long texts are scanned whole, and extra columns pass through.  An empty
+    benchmark takes nothing away; an empty table gives no rows.
+    """
+    for part in slices_of(benchmark, min_words=min_words):
         held, key = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
 
         def keep(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
@@ -194,8 +207,8 @@ ORACLE = f"""
 WITH dw AS ({_sql_words("documents", "doc_id")}), bw AS ({_sql_words("benchmark", "item_id")}),
 b AS (SELECT DISTINCT item_id, k, gram FROM ({_sql_grams("bw", "item_id")}) WHERE last IS NOT NULL AND k = least(n, {NGRAM})),
 d AS (SELECT * FROM ({_sql_grams("dw", "doc_id")}) WHERE last IS NOT NULL AND k IN (SELECT k FROM b)),
-hit AS (SELECT doc_id, item_id, d.k, i, start, "end", CASE WHEN i <= lag(i) OVER w + d.k - 1 THEN 0 ELSE 1 END AS fresh FROM d JOIN b USING (gram, k) WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY i)),
-run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM hit)
-SELECT doc_id, item_id, CAST(min(start) AS BIGINT) AS start, CAST(max("end") AS BIGINT) AS "end", CAST(max(i) - min(i) + any_value(k) AS INTEGER) AS n_words
+hit AS (SELECT doc_id, item_id, d.k, i, start, "end", CASE WHEN i <= max(i + d.k - 1) OVER w THEN 0 ELSE 1 END AS fresh FROM d JOIN b USING (gram, k) WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY i, d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY i, k ROWS UNBOUNDED PRECEDING) AS g FROM hit)
+SELECT doc_id, item_id, CAST(min(start) AS BIGINT) AS start, CAST(max("end") AS BIGINT) AS "end", CAST(max(i + k) - min(i) AS INTEGER) AS n_words
 FROM run GROUP BY doc_id, item_id, g
 """
