@@ -1,7 +1,10 @@
 """Information-theoretic sanitisation of personal data (operator 8).
 
 Protected entities (mail addresses, telephone numbers, network addresses, card
-and account numbers, secrets) are recognised by form, each of a class.  How
+and account numbers, secrets) are recognised by form, each of a class; names of
+persons and street addresses have no such form and are not protected.  Numbers
+count as accounts only with a card issuer's prefix and length, a checksum that
+holds, a known grouping or a word such as "account" before them.  How
 strongly a term t reveals a class c is estimated over the whole corpus from
 co-occurrence within ``window`` words of an entity:
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,27 +43,54 @@ BROADCAST_TERMS = 4_000_000
 #: What a document must hold to have any entity at all; the entities' own patterns run only there, so it has to match wherever ``ENTITY`` does.
 #: It runs in RE2, whose \d and \s are ASCII only: \p{Nd} and the class of spaces stand for those of ``re``.
 MAYBE = (
-    r"@|\p{Nd}[\p{Nd} ().-]{5,}\p{Nd}|[A-Z]{2}\p{Nd}{2}(?: ?[A-Z0-9]{4}){3}|[0-9a-fA-F]{32}"
+    r"@|\p{Nd}[\p{Nd} ().-]{5,}\p{Nd}|[A-Z]{2}\p{Nd}{2}(?: ?[A-Z0-9]{4}){2}|[0-9a-fA-F]{32}"
     r"|(?i:token|secret|password|passwd|key)[\s\v\x1c-\x1f\x{85}\p{Z}]*[=:]|AKIA|gh[pousr]_|sk-"
 )
 ENTITY = re.compile(
     r"(?P<MAIL>[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?P<SECRET>(?:(?i:\b(?:access[ _-]?|auth[ _-]?|api[ _-]?|secret[ _-]?|private[ _-]?)?(?:token|secret|password|passwd|key))\s*[=:]\s*[\"']?)(?P<value>[^\s\"'&<>]{6,})"
+    r"|(?P<SECRET>(?i:\b(?:access[ _-]?|auth[ _-]?|api[ _-]?|secret[ _-]?|private[ _-]?)?(?:(?:password|passwd)\s*[=:]\s*[\"']?|(?:token|secret|key)\s*[=:]\s*[\"']?(?=[^\s\"'&<>]*\d)))(?P<value>[^\s\"'&<>]{6,})"
     r"|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk-[\w-]{20,})"
     r"|(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z]))"
     r"|(?P<NETWORK>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
-    r"|(?P<PHONE>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{3,4}(?![\w]))"
-    r"|(?P<ACCOUNT>(?<!\w)\d(?:[ -]?\d){8,18}(?!\w)|\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b)"
+    r"|(?P<PHONE>(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]\d{3,4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\d{3}[.-]\d{3}[.-]\d{4}|(?<!\d[ ,])(?:\d{3} \d{3}[ -]\d{4}|(?!\d{3}-\d{2}-\d{4}(?!\w))0\d{1,4}(?:[ .-]\d{2,4}){2,4}))(?!\w|[.,]\d))"
+    r"|(?P<ACCOUNT>(?<![\w.])(?:(?P<card>\d{13,19})|(?P<groups>\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{4}(?:(?P=sep)\d{3})?|\d{4}(?P<gap>[ -])\d{6}(?P=gap)\d{5})|(?P<ssn>\d{3}-\d{2}-\d{4})|(?P<plain>\d{8,12}))(?!\w|[.,]\d)"
+    r"|\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b)"
 )
+#: Words before a plain number of 8 to 12 digits that make it an account's.
+_ACCOUNT_WORD = re.compile(r"(?i)\b(?:account|acct|card|iban|ssn|passport|konto|kontonummer|compte|carte|cuenta|tarjeta)\b\W{0,3}(?:(?:no|nr|num|number|numero|número|nummer)\b\W{0,3})?$")
+#: Prefixes of the large card issuers with the lengths of their numbers.
+_ISSUER = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|(?:6011|64[4-9]\d|65\d\d)\d{12}|3(?:0[0-5]|[689]\d)\d{11}|35\d{14}|62\d{14,17}")
+_IBAN = {
+    "AE": 23, "AT": 20, "BE": 16, "BG": 22, "BR": 29, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IT": 27, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26,
+}
 _TERM = re.compile(WORD)
 
 
+def _luhn(digits: str) -> bool:
+    total = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(digits)))
+    return total % 10 == 0
+
+
+def _is_account(m: re.Match, text: str) -> bool:
+    if m.group("iban"):
+        code = m.group("iban").replace(" ", "")
+        return _IBAN.get(code[:2]) == len(code) or 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+    if whole := m.group("card") or m.group("groups"):
+        digits = "".join(str(int(c)) for c in whole if c.isdigit())
+        return bool(_ISSUER.fullmatch(digits)) or bool(m.group("card")) and len(digits) >= 14 and _luhn(digits)
+    return bool(m.group("ssn")) or bool(_ACCOUNT_WORD.search(text, max(0, m.start() - 40), m.start()))
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, class) of each protected entity, in order and apart from each other."""
     found = []
-    for m in ENTITY.finditer(text):
+    at = 0
+    while m := ENTITY.search(text, at):
         kind = next(k for k in ("MAIL", "SECRET", "NETWORK", "PHONE", "ACCOUNT") if m.group(k) is not None)
-        found.append((*(m.span("value") if m.group("value") is not None else m.span()), kind))
+        at = m.end()
+        if kind != "ACCOUNT" or _is_account(m, text):
+            found.append((*(m.span("value") if m.group("value") is not None else m.span()), kind))
     return found
 
 
@@ -67,6 +98,23 @@ def _maybe(texts: pa.Array) -> np.ndarray:
     return np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(texts, MAYBE), False)))
 
 
+def _terms_before(text: str, edge: int, place: int, n: int) -> list[str]:
+    """The last n terms between ``edge`` and ``place``, however far they are."""
+    reach = 64 * n
+    while True:
+        low = max(edge, place - reach)
+        terms = _TERM.findall(text, low, place)
+        if low > edge:
+            terms = terms[1:]  # it may begin before ``low``
+        if len(terms) >= n or low == edge:
+            return terms[-n:]
+        reach *= 8
+
+
+def _terms_after(text: str, place: int, edge: int, n: int) -> list[str]:
+    return [m.group() for m in islice(_TERM.finditer(text, place, edge), n)]
+
+
 def near_terms(text: str, found: list[tuple[int, int, str]], window: int) -> dict[tuple[str, str], set[str]]:
     """(class, term) to all entity values near which the term stands, outside all entities."""
     out: dict[tuple[str, str], set[str]] = {}
@@ -76,13 +124,11 @@ def near_terms(text: str, found: list[tuple[int, int, str]], window: int) -> dic
             while left:
                 other = found[at + step] if 0 <= at + step < len(found) else None
                 edge = (other[1] if step < 0 else other[0]) if other else (0 if step < 0 else len(text))
-                low, high = (max(edge, place - 1000), place) if step < 0 else (place, min(edge, place + 1000))
-                terms = _TERM.findall(text, low, high)
-                terms = terms[-left:] if step < 0 else terms[:left]
+                terms = _terms_before(text, edge, place, left) if step < 0 else _terms_after(text, place, edge, left)
                 for t in terms:
                     out.setdefault((kind, t.lower()), set()).add(text[start:end])
                 left -= len(terms)
-                if not other or (high - low) >= 1000:
+                if not other:
                     break
                 at, place = at + step, (other[0] if step < 0 else other[1])
     return out
@@ -234,7 +280,12 @@ def _cleaned(texts: pa.Array, terms: dict) -> tuple[pa.Array, np.ndarray, np.nda
 
 
 def sanitised_documents(docs: DataFrame) -> DataFrame:
-    """The rows with all their columns, ``text`` sanitised and ``n_chars``, where there is one, its new length."""
+    """The rows with all their columns, ``text`` sanitised and ``n_chars``, where there is one, its new length.
+
+    Every row stays: null and empty texts as they are, a null or repeated ``doc_id``
+    row by row, very long texts as a whole, extra columns untouched.  An empty
+    table gives no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(_held_terms(docs))
     names = docs.columns
 
