@@ -68,3 +68,25 @@ def test_awkward_rows(spark, trained):
 def test_without_labels_or_rows(spark):
     assert langid.identify(documents(spark, [])).count() == 0
     assert result(langid.identify(documents(spark, [(1, "some text")])).select("lang", "accepted")) == [("und", False)]
+
+
+def test_the_set_is_the_best_of_all_by_penalised_likelihood(trained):
+    from itertools import combinations
+
+    texts = [text("aa", 40), text("aa", 60) + " " + text("cc", 30), " ".join(text(x, 40) for x in SYLLABLES), text("bb", 50) + " 漢字漢 字漢字漢 漢漢字字", text("cc", 3)]
+    w = langid.letters(words(pa.array(texts)))
+    _, got = langid.mixtures(w, trained)
+    code, begin = langid.trigrams(w)
+    score = np.stack([np.add.reduceat(row[code], begin) for row in trained.logp], axis=1).astype(float)
+    for i in range(len(texts)):
+        own = score[w.ptr[i] : w.ptr[i + 1]]
+        p = np.exp(own - own.max(1, keepdims=True))
+        best = {}
+        for size in range(1, 5):
+            for chosen in combinations(range(4), size):
+                part = np.array([1 / size if k in chosen else 0 for k in range(4)])
+                for _ in range(200):  # until it stands still
+                    r = p * part
+                    part = (r / np.maximum(r.sum(1, keepdims=True), 1e-300)).mean(0)
+                best[chosen] = -2 * np.log(np.maximum((p * part).sum(1), 1e-30)).sum() + (size - 1) * langid.PENALTY * np.log(max(len(p), 2))
+        assert tuple(np.flatnonzero(got[i])) == min(best, key=best.get), texts[i]

@@ -2,6 +2,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
+from tests.llm.helpers import documents
 from tracework.llm import dedup, decontaminate, langid, packing, pii, queries
 
 
@@ -65,3 +66,22 @@ def test_queries_are_registered():
     found = __spark_entry__.queries()
     assert [sum(q.startswith(f"op{n}_") for q in found) for n in range(1, 11)] == [1] * 10 and "pipeline" in found
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_awkward_documents(spark, sf, tmp_path):
+    """Null, repeated and clashing ids, empty and very long texts, equal rows, an empty benchmark and columns named as the operators' own."""
+    rows = sorted((r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 120").collect())
+    one, two = rows[0][1], rows[1][1]
+    odd = [(None, one, "en"), (None, None, None), (None, "", None), (0, one, "en"), (3, two + " and more of it", "de"), (700, " ".join(t for _, t, _ in rows[2:60]) * 8, None), (701, two, "de"), (702, "!!! ***", None)]
+    documents(spark, rows + odd).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns, name
+    left = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(i for i, _ in left if i is not None) == sorted([*range(120), 700]) and [t for i, t in left if i is None] == [one]
+    assert [t for i, t in left if i == 3] == [rows[3][1]] and [t for i, t in left if i == 0] == [one]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {None, *range(120), 700}

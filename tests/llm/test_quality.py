@@ -62,3 +62,58 @@ def test_awkward_rows(spark):
     assert len(out) == len(rows) and (900, 0.0, False) in out and (901, 0.0, False) in out
     assert quality.classify(documents(spark, []), marks).count() == 0
     assert {s for _, s, _ in result(quality.classify(documents(spark, [(1, "a b"), (2, "c d e")]), labels(spark, [])))} == {0.5}
+
+
+def leaf_gain(g, h):
+    return g.sum() ** 2 / (h.sum() + 1)
+
+
+def test_trees_are_the_best_of_all_cuts():
+    for n, m in ((5, 4), (1, 6), (7, 1)):
+        grad, hess = RNG.normal(size=(n, m)), RNG.random((n, m))
+        at, gain = quality._cut(grad[0], hess[0])
+        all_ = [leaf_gain(grad[0][:k], hess[0][:k]) + leaf_gain(grad[0][k:], hess[0][k:]) - leaf_gain(grad[0], hess[0]) for k in range(1, m)]
+        assert (at, gain) == ((int(np.argmax(all_)) + 1, pytest.approx(max(all_))) if all_ else (0, 0.0))
+        want = 0.0
+        for g, h in ((grad, hess), (grad.T, hess.T)):
+            for k in range(1, len(g)):
+                total = -leaf_gain(g, h)
+                for side in (slice(0, k), slice(k, None)):
+                    gs, hs = g[side].sum(0), h[side].sum(0)
+                    total += max([leaf_gain(gs[:c], hs[:c]) + leaf_gain(gs[c:], hs[c:]) for c in range(1, len(gs))] or [leaf_gain(gs, hs)])
+                want = max(want, total)
+        assert quality.tree_2d(grad, hess)[1] == pytest.approx(want)
+
+
+def test_boosting_is_that_of_a_plain_loop(monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 3)
+    monkeypatch.setattr(quality, "PAIR_ROUNDS", 2)
+    x, y = np.zeros((80, len(quality.FEATURES))), (RNG.random(80) < 0.4).astype(float)
+    x[:, :3] = RNG.random((80, 3))
+    m = quality.fit(x, y)
+    total = [float(np.log(y.mean() / (1 - y.mean())))] * 80
+    tables = [np.zeros(len(e) + 1) for e in m.edges]
+    pairs = {p: np.zeros_like(t) for p, t in m.pairs.items()}
+
+    def sums(shape, place):
+        g, h = np.zeros(shape), np.zeros(shape)
+        for i in range(80):
+            p = 1 / (1 + np.exp(-total[i]))
+            g[place(i)] += y[i] - p
+            h[place(i)] += p * (1 - p)
+        return g, h
+
+    for _ in range(3):
+        for f, e in enumerate(m.edges):
+            place = lambda i, f=f, e=e: sum(x[i, f] >= c for c in e)
+            step = quality.RATE * quality.tree_1d(*sums(len(e) + 1, place))
+            tables[f] += step
+            total = [t + step[place(i)] for i, t in enumerate(total)]
+    for _ in range(2):
+        for f, g in m.pairs:
+            place = lambda i, f=f, g=g: (sum(x[i, f] >= c for c in m.coarse[f]), sum(x[i, g] >= c for c in m.coarse[g]))
+            step = quality.RATE * quality.tree_2d(*sums(pairs[f, g].shape, place))[0]
+            pairs[f, g] += step
+            total = [t + step[place(i)] for i, t in enumerate(total)]
+    assert all(a == pytest.approx(b) for a, b in zip(m.tables, tables)) and all(m.pairs[p] == pytest.approx(t) for p, t in pairs.items())
+    assert m.score(x) == pytest.approx(1 / (1 + np.exp(-np.array(total))))

@@ -147,7 +147,7 @@ def mixtures(w: Words, model: Model, penalty: float = PENALTY) -> tuple[np.ndarr
 
 
 def identify(docs: DataFrame, model: Model | None = None, penalty: float = PENALTY) -> DataFrame:
-    """(doc_id, lang, share, langs, shares, n_words, accepted) for every row.
+    """(doc_id, lang, share, langs, shares, n_words, accepted) for every row, very long texts as a whole; an empty table gives no rows.
 
     ``langs`` is the chosen set by falling share (ties by name), ``lang`` and
     ``share`` its first member.  Words with a digit are left out.  A document is rejected
@@ -183,7 +183,12 @@ def identify(docs: DataFrame, model: Model | None = None, penalty: float = PENAL
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows that ``identify`` accepts, with the columns they came with; the text is scored in place, without a join."""
+    """The rows that ``identify`` accepts, with the columns they came with; the text is scored in place, without a join.
+
+    Rows with a null or empty text, or with numbers only, go; a null ``doc_id``,
+    repeated rows and very long texts are judged row by row as a whole, and extra
+    columns pass through.  An empty table gives no rows.
+    """
     model = model or train(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
