@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .text import only
 
@@ -143,7 +143,9 @@ def format_records(df: DataFrame, id_column: str, json_column: str) -> DataFrame
 
     A record without a known layout, or that is no JSON (null or empty too),
     gives one row with a null layout, turn, role and content; one with a layout
-    but no text gives none.  Null and repeated ids are answered row by row.
+    but no text gives none.  Null and repeated ids are answered row by row; very
+    long records are taken whole.  An empty table gives no rows, and other columns
+    are not read.
     """
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,26 +180,21 @@ def format_rows(df: DataFrame) -> DataFrame:
     first.  Texts are stripped, null and empty ones left out, neighbours of one
     role joined by a line break, an unknown or null role counts as ``user``.
     Rows that repeat another count again.  Rows with a null conversation form
-    one conversation.  A table of another layout is an error; other columns
-    are not read.
+    one conversation.  Very long texts are taken whole.  An empty table gives no
+    rows.  A table of another layout is an error; other columns are not read.
+    Turns are told apart by windows over a conversation, in one shuffle.
     """
     m = mapping_for(schema_paths(df.schema))
     if m is None or not m.rows[0]:
         raise ValueError(f"no row layout has the fields of {sorted(schema_paths(df.schema))}")
     key, place = m.rows
     said = only(df, key, place, m.role, m.content).select(F.col(key).alias("conv_id"), F.col(place).alias("at"), _role(F.col(m.role)).alias("role"), F.regexp_replace(F.col(m.content).cast("string"), r"^[ \t\r\n]+|[ \t\r\n]+\z", "").alias("content"))
-    turns = F.sort_array(F.collect_list(F.struct("at", "role", "content")))
-    said = said.where("content <> ''").groupBy("conv_id").agg(turns.alias("t"))
-
-    def fold(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == x["role"])
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(x["role"].alias("role"), F.concat(last["content"], F.lit("\n"), x["content"]).alias("content"))))
-        return F.when(same, joined).otherwise(F.concat(done, F.array(F.struct(x["role"].alias("role"), x["content"].alias("content")))))
-
-    start = F.array().cast("array<struct<role:string,content:string>>")
-    folded = F.aggregate("t", start, fold)
-    return said.select("conv_id", F.posexplode(folded).alias("turn", "x")).select("conv_id", F.col("turn").cast("int").alias("turn"), F.col("x.role").alias("role"), F.col("x.content").alias("content"))
+    order = Window.partitionBy("conv_id").orderBy("at", "role", "content")
+    fresh = F.when(F.lag("role").over(order) == F.col("role"), 0).otherwise(1)
+    said = said.where("content <> ''").withColumn("_fresh", fresh)
+    said = said.withColumn("turn", (F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    said = said.groupBy("conv_id", "turn").agg(F.first("role").alias("role"), F.sort_array(F.collect_list(F.struct("at", "content"))).alias("t"))
+    return said.select("conv_id", "turn", "role", F.array_join(F.col("t.content"), "\n").alias("content"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
