@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import loops
-from tracework.frame import Series, chunked, latest, lagged, nth_smallest, numbered, running_sum
+from tracework.frame import Series, chunked, chunked_by_rows, latest, lagged, nth_smallest, numbered, running_sum
 from tracework.operators import align, density, edges, eye, mathch, measure, scan, spectrum, stats, threshold
 
 S = Series(by=("series",))
@@ -151,6 +151,19 @@ def test_nth_smallest(spark):
         assert (got[k]["low"], got[k]["mid"], got[k]["n"]) == (v[0], v[len(v) // 2], len(v))
 
 
+def test_chunks_of_rows_are_monotone_and_bounded(spark):
+    burst = [(i * 1e-3, float(i)) for i in range(300)] + [(100.0 + i, 0.0) for i in range(50)]
+    frame, s = chunked_by_rows(table(spark, {1: walk(200), 2: burst, 3: [(5.0, 1.0)] * 4}).drop("chunk"), S, 20)
+    for rows in points(frame, "t", "row_id", cols=("chunk_id",)).values():
+        ids = [r[-1] for r in rows]
+        assert ids == sorted(ids)
+    sizes = {(r["series"], r["chunk_id"]): r["count"] for r in frame.groupBy("series", "chunk_id").count().collect()}
+    assert max(n for (k, _), n in sizes.items() if k == 1) <= 40 and sum(sizes.values()) == 554
+    assert max(n for (k, _), n in sizes.items() if k == 2) < 350 and s.chunk == "chunk_id"
+    a, b = (points(numbered(frame, x, "n"), "t", "row_id", cols=("n",)) for x in (s, S))
+    assert a == b
+
+
 @pytest.mark.parametrize("chunk", [None, 7])
 def test_derivative_and_integral(spark, chunk):
     series = {k: p for k, p in SERIES.items() if k < 6 or k > 20 and k != 28}

@@ -20,6 +20,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 
+#: Parts of a time span that are counted for each chunk of rows wanted.
+_FINE = 16
+
+
 @dataclass(frozen=True)
 class Series:
     """Column names of a table of series."""
@@ -91,6 +95,22 @@ def chunked(df: DataFrame, s: Series, chunks: int, name: str = "chunk_id") -> tu
     return out.drop("_low", "_high"), replace(s, chunk=name)
 
 
+def chunked_by_rows(df: DataFrame, s: Series, rows: int, name: str = "chunk_id") -> tuple[DataFrame, Series]:
+    """The rows with a chunk number, so that a chunk holds some ``rows`` of them however unevenly the times lie; times must be finite.
+
+    Rows are counted in equal parts of each series' time span, some ``_FINE`` for each
+    chunk wanted, and neighbouring parts are taken together; only a part that is
+    itself fuller makes a larger chunk.
+    """
+    span = df.groupBy(*s.by).agg(F.min(s.t).alias("_low"), F.max(s.t).alias("_high"), (F.ceil(F.count("*") / rows) * _FINE).alias("_parts"))
+    part = F.floor((F.col(s.t) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * F.col("_parts"))
+    placed = join_on(df, span, s.by).withColumn("_part", F.least(F.coalesce(part, F.lit(0)), F.col("_parts") - 1)).drop("_low", "_high", "_parts")
+    counts = placed.groupBy(*s.by, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*s.by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    chunks = counts.select(*s.by, "_part", F.floor(F.coalesce(before, F.lit(0)) / rows).cast("int").alias(name))
+    return join_on(placed, chunks, (*s.by, "_part")).drop("_part"), replace(s, chunk=name)
+
+
 def numbered(df: DataFrame, s: Series, name: str) -> DataFrame:
     """Adds the row's number in its series, from 1."""
     df = df.withColumn(name, F.row_number().over(s.window()).cast("long"))

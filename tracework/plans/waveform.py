@@ -13,9 +13,10 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..frame import Series, chunked, numbered
+from ..frame import Series, chunked, chunked_by_rows, numbered
 from ..functions import units
 from ..operators import align, density, edges, eye, mathch, measure, scan, spectrum, stats, threshold
+from ..shared import shared_dir
 from ..sources import codec, ingest
 from ..sources.export import export_rows
 from ..streaming.windows import windowed_stats
@@ -27,6 +28,7 @@ WHOLE = Series()
 TYPED = Series(by=("event_type",))
 ROWS_PER_CHUNK = 1000
 
+_cut: dict[tuple[str, str, int], str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -47,9 +49,14 @@ def events(spark: SparkSession, sf_dir: str, span: tuple[float, float] | None =
     return raw.select(F.col("event_id").alias("row_id"), "event_type", t.alias("t"), F.col("value").alias("v"), F.get_json_object("props", "$.k").cast("double").alias("k"))
 
 
-def by_time(spark: SparkSession, sf_dir: str, chunks: int = 64) -> tuple[DataFrame, Series]:
-    """All events as one series, in chunks by time, so that no window holds it whole."""
-    return chunked(events(spark, sf_dir), WHOLE, chunks)
+def by_time(spark: SparkSession, sf_dir: str, rows: int = 2000) -> tuple[DataFrame, Series]:
+    """All events as one series, in chunks of some ``rows`` rows in order of time, so that no window holds it whole however long it is or unevenly it lies; cut once for a session, as a store's rows are."""
+    key = spark.sparkContext.applicationId, sf_dir, rows
+    if key not in _cut:
+        path = f"{shared_dir(spark)}/tracework-chunks-{abs(hash(key)):x}"
+        chunked_by_rows(events(spark, sf_dir), WHOLE, rows)[0].write.mode("overwrite").parquet(path)
+        _cut[key] = path
+    return spark.read.parquet(_cut[key]), Series(chunk="chunk_id")
 
 
 def by_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Series]:
