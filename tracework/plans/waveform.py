@@ -27,7 +27,9 @@ LEVEL = 50.0
 WHOLE = Series()
 TYPED = Series(by=("event_type",))
 ROWS_PER_CHUNK = 1000
+CHUNK_ROWS = 100_000
 
+_typed_cut: dict[tuple[str, str, int], str] = {}
 _cut: dict[tuple[str, str, int], str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,6 +61,17 @@ def by_time(spark: SparkSession, sf_dir: str, rows: int = 2000) -> tuple[DataFra
     return spark.read.parquet(_cut[key]), Series(chunk="chunk_id")
 
 
+def typed(spark: SparkSession, sf_dir: str, span: tuple[float, float] | None = None) -> tuple[DataFrame, Series]:
+    """A series for each event type, in chunks of bounded rows, so that no window holds one whole; cut once for a session, as a store's rows are."""
+    key = spark.sparkContext.applicationId, sf_dir, CHUNK_ROWS
+    if key not in _typed_cut:
+        path = f"{shared_dir(spark)}/tracework-typed-{abs(hash(key)):x}"
+        chunked_by_rows(events(spark, sf_dir), TYPED, CHUNK_ROWS)[0].write.mode("overwrite").parquet(path)
+        _typed_cut[key] = path
+    df = spark.read.parquet(_typed_cut[key])
+    return df.where(F.col("t").between(*span)) if span else df, Series(by=("event_type",), chunk="chunk_id")
+
+
 def by_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Series]:
     """All events as one recording in chunks of equal row counts."""
     df, s = by_time(spark, sf_dir)
@@ -134,12 +147,12 @@ def row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("thinned", f"{EV} SELECT row_id, event_type, t, v FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t, row_id) AS n FROM ev) WHERE (n - 1) % 7 = 0")
 def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.thinned(events(spark, sf_dir), TYPED, 7).select("row_id", "event_type", "t", "v")
+    return scan.thinned(*typed(spark, sf_dir), 7).select("row_id", "event_type", "t", "v")
 
 
 @query("first_rows", f"{EV} SELECT row_id, event_type, t, v FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t, row_id) AS n FROM ev) WHERE n <= 100")
 def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.first_rows(events(spark, sf_dir), TYPED, 100).select("row_id", "event_type", "t", "v")
+    return scan.first_rows(*typed(spark, sf_dir), 100).select("row_id", "event_type", "t", "v")
 
 
 def _envelope_sql(part: str, keys: str, source: str, width: str) -> str:
@@ -150,7 +163,7 @@ def _envelope_sql(part: str, keys: str, source: str, width: str) -> str:
 
 @query("envelope", _envelope_sql("PARTITION BY event_type", "event_type,", "SELECT * FROM ev", "50"))
 def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.envelope(events(spark, sf_dir), TYPED, stride=50)
+    return scan.envelope(*typed(spark, sf_dir), stride=50)
 
 
 @query("envelope_whole", _envelope_sql("", "", "SELECT * FROM ev", "CASE WHEN total > 250 THEN CAST(ceil(total * 2 / 500) AS BIGINT) ELSE 1 END"))
@@ -160,8 +173,8 @@ def envelope_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("envelope_channels", _envelope_sql("PARTITION BY event_type, ch", "event_type, ch,", "SELECT row_id, event_type, t, 'v' AS ch, v FROM ev UNION ALL SELECT row_id, event_type, t, 'k' AS ch, k AS v FROM ev", "40"))
 def envelope_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = events(spark, sf_dir).withColumnRenamed("v", "x")
-    out = scan.envelopes(df, TYPED, ["x", "k"], stride=40)
+    df, s = typed(spark, sf_dir)
+    out = scan.envelopes(df.withColumnRenamed("v", "x"), s, ["x", "k"], stride=40)
     return out.withColumn("ch", F.when(F.col("ch") == "x", "v").otherwise("k"))
 
 
@@ -229,7 +242,7 @@ _ONE = {"keys": "", "part": "", "source": "ev"}
 
 @query("derivative", f"{EV} {_DERIVATIVE.format(**_TYPED)}")
 def derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mathch.derivative(events(spark, sf_dir), TYPED).withColumns({"t": r("t", 7), "v": r("v")})
+    return mathch.derivative(*typed(spark, sf_dir)).withColumns({"t": r("t", 7), "v": r("v")}).drop("chunk_id")
 
 
 @query("derivative_whole", f"{EV} {_DERIVATIVE.format(**_ONE)}")
@@ -239,7 +252,7 @@ def derivative_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("integral", f"{EV} {_INTEGRAL.format(**_TYPED)}")
 def integral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mathch.integral(events(spark, sf_dir), TYPED).withColumn("v", r(F.col("v") / 1e6))
+    return mathch.integral(*typed(spark, sf_dir)).withColumn("v", r(F.col("v") / 1e6)).drop("chunk_id")
 
 
 @query("integral_whole", f"{EV} {_INTEGRAL.format(**_ONE)}")
@@ -253,8 +266,8 @@ def math_of_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     difference = registry.add(mathch.MathChannel("subtract", "v", "k"))
     size = registry.add(mathch.MathChannel("abs", difference))
     slope = registry.add(mathch.MathChannel("derivative", size))
-    out = registry.points(events(spark, sf_dir), TYPED, slope)
-    return out.withColumns({"t": r("t", 7), "v": r("v")})
+    out = registry.points(*typed(spark, sf_dir), slope)
+    return out.withColumns({"t": r("t", 7), "v": r("v")}).drop("chunk_id")
 
 
 # ---- thresholds and measurements -----------------------------------------
@@ -277,7 +290,7 @@ def _lag(part: str = "PARTITION BY event_type", source: str = "ev") -> str:
     UNION ALL SELECT event_type, row_id, CASE WHEN crossed THEN 2 ELSE 0 END AS point, round(t, 6) AS t, CASE WHEN v > {LEVEL} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM x""",
 )
 def binarised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threshold.binarised(events(spark, sf_dir), TYPED, LEVEL).withColumn("t", r("t"))
+    return threshold.binarised(*typed(spark, sf_dir), LEVEL).withColumn("t", r("t")).drop("chunk_id")
 
 
 _LEVELS = f"{EV}, lv AS (SELECT event_type, count(*) AS n, min(v) AS lo, max(v) AS hi FROM ev GROUP BY event_type HAVING count(*) >= 4 AND max(v) - min(v) >= 2.220446049250313e-16), p AS (SELECT * FROM ({_lag()}) JOIN lv USING (event_type))"
@@ -285,7 +298,7 @@ _LEVELS = f"{EV}, lv AS (SELECT event_type, count(*) AS n, min(v) AS lo, max(v)
 
 @query("crossings", f"{_LEVELS} SELECT event_type, row_id, t, CASE WHEN v > (hi + lo) / 2 THEN 'rising' ELSE 'falling' END AS direction FROM p WHERE (pv <= (hi + lo) / 2 AND v > (hi + lo) / 2) OR (pv > (hi + lo) / 2 AND v <= (hi + lo) / 2)")
 def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.crossings(events(spark, sf_dir), TYPED)
+    return measure.crossings(*typed(spark, sf_dir)).drop("chunk_id")
 
 
 def _edge_sql(name: str, start: str, stop: str, below: str, reached: str, mode: str) -> str:
@@ -316,17 +329,17 @@ def _rounded_pulse(df: DataFrame) -> DataFrame:
 
 @query("pulse", _pulse_sql(">="))
 def pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_pulse(measure.pulse(events(spark, sf_dir), TYPED))
+    return _rounded_pulse(measure.pulse(*typed(spark, sf_dir)))
 
 
 @query("pulse_reference_mode", _pulse_sql(">"))
 def pulse_reference_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_pulse(measure.pulse(events(spark, sf_dir), TYPED, mode="reference"))
+    return _rounded_pulse(measure.pulse(*typed(spark, sf_dir), mode="reference"))
 
 
 @query("measurements", f"{_pulse_sql('>=').replace('FROM events', f'FROM events WHERE (epoch_us(ts) - epoch_us(TIMESTAMP ' + chr(39) + '2024-01-01 00:00:00' + chr(39) + f')) / 1e6 BETWEEN {A} AND {B}').replace('FROM m LEFT', 'FROM m JOIN (SELECT event_type, ' + _STATS + ' FROM ev GROUP BY event_type) st USING (event_type) LEFT').replace('SELECT event_type, round(period', 'SELECT event_type, vmin, vmax, mean, rms, vpp, st.n, round(period')}")
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _rounded_pulse(measure.measurements(events(spark, sf_dir, (A, B)), TYPED, A, B))
+    out = _rounded_pulse(measure.measurements(*typed(spark, sf_dir, (A, B)), A, B))
     return out.withColumns({c: r(c) for c in ("mean", "rms", "vpp")})
 
 
@@ -362,7 +375,7 @@ def _schmitt(polarity: str, part: str = "PARTITION BY event_type", th: str = _TH
 def _add_schmitt(polarity: str) -> None:
     @query(f"schmitt_{polarity}", f"{_schmitt(polarity)} SELECT event_type, row_id, t, round(t_cross, 6) AS t_cross FROM hit")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return edges.schmitt(events(spark, sf_dir), TYPED, polarity).withColumn("t_cross", r("t_cross"))
+        return edges.schmitt(*typed(spark, sf_dir), polarity).withColumn("t_cross", r("t_cross")).drop("chunk_id")
 
 
 for _polarity in edges.POLARITIES:
@@ -386,7 +399,7 @@ def schmitt_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE CASE WHEN n * 9 // 10 > n // 10 THEN i BETWEEN n // 10 AND n * 9 // 10 ELSE i = n // 2 END GROUP BY event_type""",
 )
 def symbol_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.auto_period(events(spark, sf_dir), TYPED).select("event_type", r("ui").alias("ui"), F.col("n_periods").cast("long").alias("n_periods"))
+    return edges.auto_period(*typed(spark, sf_dir)).select("event_type", r("ui").alias("ui"), F.col("n_periods").cast("long").alias("n_periods"))
 
 
 _CLOCK = f"{EV}, {_QUART}, p AS (SELECT *, (q25 + q75) / 2 AS m FROM ({_lag()}) JOIN q USING (event_type))"
@@ -396,7 +409,7 @@ _HITS = {"rising": "pv <= m AND v > m", "falling": "pv >= m AND v < m", "both":
 def _add_clock(polarity: str) -> None:
     @query(f"clock_{polarity}", f"{_CLOCK} SELECT event_type, row_id, round(pt + (m - pv) / (v - pv) * (t - pt), 6) AS t FROM p WHERE {_HITS[polarity]}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return edges.clock_crossings(events(spark, sf_dir), TYPED, polarity).withColumn("t", r("t"))
+        return edges.clock_crossings(*typed(spark, sf_dir), polarity).withColumn("t", r("t")).drop("chunk_id")
 
 
 for _polarity in edges.POLARITIES:
@@ -436,8 +449,8 @@ _SEGS = f"{_schmitt('rising')}, seg AS (SELECT h.event_type, h.row_id AS seg, e.
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    df = events(spark, sf_dir)
-    hits = edges.schmitt(df, TYPED).select("event_type", F.col("row_id").alias("seg"), "row_id", "t")
+    df, s = typed(spark, sf_dir)
+    hits = edges.schmitt(df, s).select("event_type", F.col("row_id").alias("seg"), "row_id", "t")
     return df, eye.segments(df, TYPED, hits, WIDTH)
 
 
@@ -493,7 +506,7 @@ def eye_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_type, px, CAST(py AS INTEGER) AS py, count(*) AS n FROM run, LATERAL (SELECT unnest(generate_series(lo, hi)) AS py) GROUP BY ALL""",
 )
 def density_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.raster(events(spark, sf_dir), TYPED, (A, B), (0.0, 200.0), 80, 40)
+    return density.raster(*typed(spark, sf_dir), (A, B), (0.0, 200.0), 80, 40)
 
 
 # ---- spectra -------------------------------------------------------------
