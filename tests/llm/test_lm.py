@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -51,6 +53,45 @@ def test_gradient(busy, monkeypatch):
     assert got.flat == pytest.approx(np.array(want), abs=1e-5)
 
 
+def test_gradient_does_not_depend_on_passes_and_tiles(monkeypatch):
+    rng = np.random.default_rng(8)
+    tree = lm.huffman(np.arange(300), rng.integers(1, 1000, 300) ** 2)
+    m = lm.Model.start(tree)
+    x, y, ok = rng.integers(0, 301, (20, 32)), rng.integers(0, 300, (20, 32)), rng.random((20, 32)) < 0.9
+    whole = m.gradient(x, y, ok, tree).flat
+    for passes, tile in ((1, 7), (7, 1), (64, 640)):
+        monkeypatch.setattr(lm, "PASS", passes)
+        monkeypatch.setattr(lm, "TILE", tile)
+        assert m.gradient(x, y, ok, tree).flat == pytest.approx(whole, abs=1e-6)
+    assert not m.gradient(x, y, np.zeros_like(ok), tree).flat.any()
+
+
+def test_leaves_are_ranked_from_one_side_of_the_tree_to_the_other():
+    tree = lm.huffman(np.arange(50), np.random.default_rng(9).integers(1, 500, 50))
+    turns = [tuple(tree.turn[tree.ptr[w] : tree.ptr[w + 1]][::-1].tolist()) for w in tree.ranked]
+    assert turns == sorted(turns) and np.array_equal(tree.rank[tree.ranked], np.arange(50))
+
+
+def test_a_step_of_training_takes_little_memory():
+    rng = np.random.default_rng(10)
+    tree = lm.huffman(np.arange(2000), rng.integers(1, 1000, 2000))
+    m = lm.Model.start(tree)
+    x, y = rng.integers(0, 2001, (lm.BATCH, lm.WINDOW)), rng.integers(0, 2000, (lm.BATCH, lm.WINDOW))
+    tracemalloc.start()
+    m.gradient(x, y, np.ones_like(x, bool), tree)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+
+
+def test_no_state_of_an_overlap_is_scored_again(monkeypatch):
+    tree, _ = small()
+    states = []
+    monkeypatch.setattr(lm.Model, "hidden", lambda self, *a, f=lm.Model.hidden: (out := f(self, *a), states.append(out[0].shape[:2]))[0])
+    lm.document_losses(np.zeros(32 + 24 * 9 + 32, np.int64), np.array([32 + 24 * 9, 32]), tree, lm.Model.start(tree))
+    assert sum(a * b for a, b in states) == 32 + 24 * 9 + 32
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 56, 57, 500])
 def test_each_id_is_scored_once(n):
     doc, first = lm.windows(np.array([n, 7]))

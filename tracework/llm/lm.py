@@ -40,10 +40,13 @@ OVERLAP = 8
 BATCH = 256
 MIN_STEPS = 300
 RATE = 0.01
-#: Nodes next to the root that are computed for all states by one product; deeper ones only where a path needs them.
+#: Nodes next to the root that scoring computes for all states by one product; deeper ones only where a path needs them.
 BUSY_NODES = 64
-#: Windows that one pass of the batched attention holds.
+#: Windows that one pass of the batched attention holds, in scoring and within a batch of training, which asks for more arrays.
 SCORE_BATCH = 128
+PASS = 128
+#: States whose paths are walked together in training, those of words that are near in the tree.
+TILE = 512
 #: Parameters that one row carries, and the unit in which workers' parameters are summed as integers, so that no order of summing shows.
 _PART = 1 << 14
 _UNIT = 1 << 20
@@ -53,7 +56,7 @@ SCHEMA = "doc_id long, n_tokens int, log_loss double, perplexity double"
 
 @dataclass
 class Tree:
-    """Huffman paths: inner nodes and turns (+1, -1) of word w at ``ptr[w]:ptr[w + 1]``, from the leaf to the root, those below the busy ones before ``cut[w]``; ``word`` maps a subword id to w."""
+    """Huffman paths: inner nodes and turns (+1, -1) of word w at ``ptr[w]:ptr[w + 1]``, from the leaf to the root, those below the busy ones before ``cut[w]``; ``word`` maps a subword id to w, ``rank`` w to its leaf's place from one side of the tree to the other, and ``ranked`` back."""
 
     word: np.ndarray
     ptr: np.ndarray
@@ -61,6 +64,8 @@ class Tree:
     node: np.ndarray
     turn: np.ndarray
     bias: np.ndarray
+    rank: np.ndarray
+    ranked: np.ndarray
 
 
 def huffman(ids: np.ndarray, count: np.ndarray, size: int = 0) -> Tree:
@@ -73,11 +78,12 @@ def huffman(ids: np.ndarray, count: np.ndarray, size: int = 0) -> Tree:
     heap = [(int(c), i) for i, c in enumerate(count)]
     heapq.heapify(heap)
     parent, side, total, right = np.zeros(2 * v, np.int64), np.zeros(2 * v), np.zeros(2 * v), np.zeros(2 * v)
-    top = v
+    top, kids = v, []
     while len(heap) > 1:
         (c1, a), (c2, b) = heapq.heappop(heap), heapq.heappop(heap)
         parent[a], side[a], parent[b], side[b] = top, 1, top, -1
         total[top], right[top] = c1 + c2, c1
+        kids.append((a, b))
         heapq.heappush(heap, (c1 + c2, top))
         top += 1
     ptr, node, turn = [0], [], []
@@ -92,13 +98,26 @@ def huffman(ids: np.ndarray, count: np.ndarray, size: int = 0) -> Tree:
     node = top - v - 1 - np.array(node, np.int64)  # the busiest nodes, those near the root, first
     ptr = np.array(ptr)
     deep = np.concatenate(([0], np.cumsum(node >= BUSY_NODES)))
-    return Tree(word, ptr, ptr[:-1] + np.diff(deep[ptr]), node, np.array(turn, np.float32), np.log(share / (1 - share)).astype(np.float32))
+    ranked, ahead = [], [top - 1] if v else []
+    while ahead:
+        at = ahead.pop()
+        ahead += kids[at - v] if at >= v else ()
+        ranked += (at,) if at < v else ()
+    ranked = np.array(ranked, np.int64)
+    return Tree(word, ptr, ptr[:-1] + np.diff(deep[ptr]), node, np.array(turn, np.float32), np.log(share / (1 - share)).astype(np.float32), np.argsort(ranked), ranked)
 
 
-def _scattered(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the values [m, d] with equal rows, as [n, d]."""
-    d = values.shape[1]
-    return np.bincount((row[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d)
+def _order(key: np.ndarray, size: int) -> np.ndarray:
+    """The order that sorts keys below ``size``."""
+    return np.argsort(key.astype(np.uint16 if size <= 1 << 16 else np.int64), kind="stable")
+
+
+def _add_at(out: np.ndarray, key: np.ndarray, values: np.ndarray) -> None:
+    """``out[key] += values``, of equal keys all."""
+    order = _order(key, len(out))
+    key = key.take(order)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    out[key.take(first)] += np.add.reduceat(values.take(order, axis=0), first, axis=0)
 
 
 def _path(y: np.ndarray, begin: np.ndarray, end: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,24 +154,25 @@ class Model:
         m.part["b"][: len(tree.bias)] = tree.bias
         return m
 
-    def hidden(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """States [B, T, d] for inputs [B, T] under a causal mask, and what the gradient needs."""
+    def hidden(self, x: np.ndarray, start: int = 0) -> tuple[np.ndarray, tuple]:
+        """States [B, T - start, d] from ``start`` on for inputs [B, T] under a causal mask, and what the gradient needs."""
         w, d = self.part, self.d
         t = x.shape[1]
         h0 = w["e"].take(x, axis=0)
         h0 += w["p"][:t]
         s = np.repeat(np.array([d**-0.25, d**-0.25, 1], w["a"].dtype), d)  # queries and keys share the scale of their product
         qku = (h0.reshape(-1, d) @ (w["a"] * s)).reshape(-1, t, 3 * d)
-        q, k, u = qku[..., :d], qku[..., d : 2 * d], qku[..., 2 * d :]
+        q, k, u = qku[:, start:, :d], qku[..., d : 2 * d], qku[..., 2 * d :]
         e = q @ k.transpose(0, 2, 1)
         np.clip(e, -60, 60, out=e)  # far from what a float holds, so no maximum has to be taken off
         np.exp(e, out=e)
-        e *= np.tri(t, dtype=np.float32)
-        e /= e @ np.ones((t, 1), e.dtype)
+        e *= np.tri(t, dtype=np.float32)[start:]
+        r = 1 / (e @ np.ones((t, 1), e.dtype))
         c = e @ u
+        c *= r
         h = c @ w["o"]
-        h += h0
-        return h, (h0, q, k, u, e, c, s)
+        h += h0[:, start:]
+        return h, (h0, q, k, u, e, r, c, s)
 
     def _turns(self, h: np.ndarray, y: np.ndarray, tree: Tree) -> list[tuple]:
         """(row, node, turn, score against the turn) of the paths' steps, below the busy nodes and at them."""
@@ -178,48 +198,76 @@ class Model:
             out += np.bincount(row, np.log(z + 1), len(y))
         return out
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, ok: np.ndarray, tree: Tree) -> Model:
-        """Gradient of the mean loss over the positions ``ok`` of windows x [B, T] with targets y [B, T]."""
-        w, g = self.part, Model(self.v, self.d, self.t)
-        d, inner = self.d, len(w["b"])
-        h, (h0, q, k, u, a, c, s) = self.hidden(x)
+    def gradient(self, x: np.ndarray, y: np.ndarray, ok: np.ndarray, tree: Tree, into: Model | None = None) -> Model:
+        """Gradient of the mean loss over the positions ``ok`` of windows x [B, T] with targets y [B, T], in the model ``into`` if one is given."""
+        full = into or Model(self.v, self.d, self.t)
+        full.flat.fill(0)
+        w, g, d = self.part, full.part, self.d
+        passes = [(slice(at, at + PASS), *self.hidden(x[at : at + PASS])) for at in range(0, len(x), PASS)]
+        h = np.concatenate([h.reshape(-1, d) for _, h, _ in passes])
         place = np.flatnonzero(ok)
-        rows = h.reshape(-1, d).take(place, axis=0)
-        deep, busy = self._turns(rows, y.ravel().take(place), tree)
-        for row, _, turn, z in (deep, busy):
-            np.clip(z, -80, 80, out=z)
-            np.exp(np.negative(z, out=z), out=z)
-            z += 1
-            np.divide(turn * np.float32(-1 / max(1, len(rows))), z, out=z)
-        row, node, _, dz = deep
-        g.part["n"] += _scattered(node, dz[:, None] * rows.take(row, axis=0), inner)
-        back = _scattered(row, dz[:, None] * w["n"].take(node, axis=0), len(rows)).astype(h.dtype)
-        g.part["b"] += np.bincount(node, dz, inner)
-        row, node, _, dz = busy
-        n = min(BUSY_NODES, inner)
-        dense = np.zeros((len(rows), n), h.dtype)
-        dense.ravel()[row * n + node] = dz
-        g.part["n"][:n] += dense.T @ rows
-        g.part["b"][:n] += np.bincount(node, dz, n)
-        back += dense @ w["n"][:n]
-        dh = np.zeros_like(h)
-        dh.reshape(-1, d)[place] = back
-        g.part["o"] += c.reshape(-1, d).T @ dh.reshape(-1, d)
-        dc = dh @ w["o"].T
-        ds = dc @ u.transpose(0, 2, 1)
-        ds -= np.einsum("btd,btd->bt", dc, c)[..., None]  # the mean under the weights
-        ds *= a
-        own = np.empty((*h.shape[:2], 3 * d), h.dtype)
-        np.matmul(ds, k, out=own[..., :d])
-        np.matmul(ds.transpose(0, 2, 1), q, out=own[..., d : 2 * d])
-        np.matmul(a.transpose(0, 2, 1), dc, out=own[..., 2 * d :])
-        own = own.reshape(-1, 3 * d)
-        g.part["a"] += h0.reshape(-1, d).T @ own * s
-        dx = own @ (w["a"] * s).T
-        dx += dh.reshape(-1, d)
-        g.part["e"] += _scattered(x.ravel(), dx, len(g.part["e"]))
-        g.part["p"][: x.shape[1]] += dx.reshape(h.shape).sum(0)
-        return g
+        rank = tree.rank.take(y.ravel().take(place))
+        order = _order(rank, self.v)
+        place = place.take(order)
+        dh = np.zeros((*x.shape, d), h.dtype)
+        dh.reshape(-1, d)[place] = self._paths_gradient(g, h.take(place, axis=0), tree.ranked.take(rank.take(order)), tree)
+        dx = np.empty_like(dh)
+        for at, h, (h0, q, k, u, e, r, c, s) in passes:
+            own = np.empty((*h.shape[:2], 3 * d), h.dtype)
+            g["o"] += c.reshape(-1, d).T @ dh[at].reshape(-1, d)
+            dc = (dh[at].reshape(-1, d) @ w["o"].T).reshape(h.shape)
+            dc *= r
+            ds = dc @ u.transpose(0, 2, 1)
+            ds -= np.einsum("btd,btd->bt", dc, c)[..., None]  # the mean under the weights
+            ds *= e
+            np.matmul(ds, k, out=own[..., :d])
+            np.matmul(ds.transpose(0, 2, 1), q, out=own[..., d : 2 * d])
+            np.matmul(e.transpose(0, 2, 1), dc, out=own[..., 2 * d :])
+            own = own.reshape(-1, 3 * d)
+            g["a"] += h0.reshape(-1, d).T @ own * s
+            np.matmul(own, (w["a"] * s).T, out=dx[at].reshape(-1, d))
+        dx += dh
+        _add_at(g["e"], x.ravel(), dx.reshape(-1, d))
+        g["p"][: x.shape[1]] += dx.sum(0)
+        full.flat *= np.float32(1 / max(1, len(place)))
+        return full
+
+    def _paths_gradient(self, g: dict[str, np.ndarray], rows: np.ndarray, y: np.ndarray, tree: Tree) -> np.ndarray:
+        """Gradient of the summed loss by the states ``rows`` with words y, in order of the tree's leaves; what the nodes get is added to ``g``.
+
+        The paths of near leaves share nodes, so that products of a tile's states with its few nodes take little more than the steps themselves.
+        """
+        n, b = self.part["n"], self.part["b"]
+        back = np.empty_like(rows)
+        row, node, turn = _path(y, tree.ptr, tree.ptr[1:], tree)
+        bias = b.take(node)
+        cut = np.searchsorted(row, np.arange(0, len(rows) + TILE, TILE))
+        met, local = np.zeros(len(b), bool), np.zeros(len(b), np.int64)
+        dz = np.empty(len(row), rows.dtype)
+        for at, (low, high) in zip(range(0, len(rows), TILE), zip(cut, cut[1:])):
+            here, own, t = rows[at : at + TILE], node[low:high], turn[low:high]
+            met[own] = True
+            used = np.flatnonzero(met)
+            met[used] = False
+            local[used] = np.arange(len(used))
+            vectors = n.take(used, axis=0)
+            dense = here @ vectors.T
+            place = row[low:high] - at
+            place *= len(used)
+            place += local.take(own)
+            z = dense.ravel().take(place)
+            z += bias[low:high]
+            z *= t
+            np.minimum(z, 80, out=z)
+            np.exp(z, out=z)
+            np.subtract(-1, z, out=z)
+            np.divide(t, z, out=dz[low:high])
+            dense.fill(0)
+            dense.ravel()[place] = dz[low:high]
+            g["n"][used] += (here.T @ dense).T
+            np.matmul(dense, vectors, out=back[at : at + TILE])
+        g["b"] += np.bincount(node, dz, len(b))
+        return back
 
 
 class Adam:
@@ -228,21 +276,23 @@ class Adam:
     def __init__(self, model: Model, rate: float = RATE):
         self.model, self.rate, self.steps = model, rate, 0
         self.m, self.s, self.work = (np.zeros_like(model.flat) for _ in range(3))
+        self.gradient = Model(model.v, model.d, model.t)
 
     def step(self, x: np.ndarray, y: np.ndarray, ok: np.ndarray, tree: Tree) -> None:
         self.steps += 1
-        g = self.model.gradient(x, y, ok, tree).flat
-        m, s, work = self.m, self.s, self.work
-        m *= 0.9
-        m += np.multiply(g, 0.1, out=work)
-        s *= 0.98
-        g *= g
-        s += np.multiply(g, 0.02, out=work)
-        np.sqrt(np.multiply(s, 1 / (1 - 0.98**self.steps), out=work), out=work)
-        work += 1e-8
-        np.divide(m, work, out=work)
-        work *= self.rate / (1 - 0.9**self.steps)
-        self.model.flat -= work
+        flat = self.model.gradient(x, y, ok, tree, self.gradient).flat
+        for at in range(0, len(flat), _PART):  # in a core's cache
+            g, m, s, work, own = (v[at : at + _PART] for v in (flat, self.m, self.s, self.work, self.model.flat))
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=work)
+            s *= 0.98
+            g *= g
+            s += np.multiply(g, 0.02, out=work)
+            np.sqrt(np.multiply(s, 1 / (1 - 0.98**self.steps), out=work), out=work)
+            work += 1e-8
+            np.divide(m, work, out=work)
+            work *= self.rate / (1 - 0.9**self.steps)
+            own -= work
 
 
 def windows(size: np.ndarray, window: int = WINDOW, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
@@ -378,11 +428,13 @@ def document_losses(ids: np.ndarray, size: np.ndarray, tree: Tree, model: Model)
         return out
     words = tree.word.take(ids)
     doc, first = windows(size)
-    for at in range(0, len(doc), SCORE_BATCH):
-        d, f = doc[at : at + SCORE_BATCH], first[at : at + SCORE_BATCH]
-        x, y, ok = laid_out(words, size, d, f, len(tree.ptr) - 1)
-        loss = model.losses(model.hidden(x)[0][ok], y[ok], tree)
-        out += np.bincount(np.broadcast_to(d[:, None], ok.shape)[ok], loss, minlength=len(size))
+    for start, some in (0, np.flatnonzero(first == 0)), (OVERLAP, np.flatnonzero(first)):  # the ids of the overlap are scored in the window before
+        for at in range(0, len(some), SCORE_BATCH):
+            d, f = doc.take(some[at : at + SCORE_BATCH]), first.take(some[at : at + SCORE_BATCH])
+            x, y, ok = laid_out(words, size, d, f, len(tree.ptr) - 1)
+            ok = ok[:, start:]
+            loss = model.losses(model.hidden(x, start)[0][ok], y[:, start:][ok], tree)
+            out += np.bincount(np.broadcast_to(d[:, None], ok.shape)[ok], loss, minlength=len(size))
     return out
 
 
