@@ -339,3 +339,27 @@ def test_ranges_and_tone(spark):
     grid = spark.createDataFrame([(1, 0.0), (1, 3.0), (2, 0.0)], "g long, w double")
     got = sorted(tuple(r) for r in stats.tone_mapped(grid, "w", by=["g"]).select("g", "w", "tone").collect())
     assert got == [(1, 0.0, 0.0), (1, 3.0, 1.0), (2, 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("chunk", [None, 1, 7, 1000])
+def test_drawing_without_segments(spark, chunk):
+    series = {1: walk(80), 2: SERIES[24], 3: walk(90, 0.1), 4: SERIES[22]}
+    starts = {1: [0, 5, 5, 30, 79], 2: [3, 3, 20, 21], 3: [*range(0, 90, 4)], 4: [0, 1]}
+    frame, s = table(spark, series, chunk), replace(S, chunk="chunk") if chunk else S
+    hits = spark.createDataFrame([(k, n, i, float(series[k][i][0])) for k, own in starts.items() for n, i in enumerate(own)], "series long, seg long, row_id long, t double")
+    y = spark.createDataFrame([(1, -10.0, 10.0), (2, -0.1, 1.1), (3, -5.0, 5.0), (4, 1.0, 1.0)], "series long, y_lo double, y_hi double")
+    for width, size in (9.0, (16, 8)), (8.0, (32, 4)), (0.7, (8, 8)):  # whole numbers of cells a step, too
+        segs = eye.segments(frame, S, hits, width)
+        want = points(eye.grid(segs, S, width, y, size), "x_bin", "y_bin", cols=("x_bin", "y_bin", "weight"))
+        got = points(eye.drawn(frame, s, hits, width, y, size), "x_bin", "y_bin", cols=("x_bin", "y_bin", "weight"))
+        assert {k: {(x, z): pytest.approx(w, abs=1e-8) for x, z, w in p if w > 1e-8} for k, p in want.items()} == {k: {(x, z): w for x, z, w in p if w > 1e-8} for k, p in got.items()}
+
+
+def test_drawing_makes_no_segments(spark):
+    rows, near = 20_000, 5_000  # 100 million pairs of a line and a start
+    t, v = np.arange(rows) * 1e-3, np.arange(rows) % 4 * 1.0
+    lines = t[:-1], np.arange(rows - 1), t[1:], v[:-1], v[1:]
+    out = eye.draw(lines, (t[::4], np.arange(0, rows, 4)), 1e3, (8, 8))
+    steps = 1 + np.maximum(np.abs(v[1:] - v[:-1]), 1)
+    seen = np.arange(rows - 1) // 4 + 1
+    assert len(t[::4]) == near and out.sum() == pytest.approx((steps * seen).sum())
