@@ -342,7 +342,7 @@ def test_ranges_and_tone(spark):
 
 
 @pytest.mark.parametrize("chunk", [None, 1, 7, 1000])
-def test_drawing_without_segments(spark, chunk):
+def test_drawing_and_counting_without_segments(spark, chunk):
     series = {1: walk(80), 2: SERIES[24], 3: walk(90, 0.1), 4: SERIES[22]}
     starts = {1: [0, 5, 5, 30, 79], 2: [3, 3, 20, 21], 3: [*range(0, 90, 4)], 4: [0, 1]}
     frame, s = table(spark, series, chunk), replace(S, chunk="chunk") if chunk else S
@@ -353,6 +353,7 @@ def test_drawing_without_segments(spark, chunk):
         want = points(eye.grid(segs, S, width, y, size), "x_bin", "y_bin", cols=("x_bin", "y_bin", "weight"))
         got = points(eye.drawn(frame, s, hits, width, y, size), "x_bin", "y_bin", cols=("x_bin", "y_bin", "weight"))
         assert {k: {(x, z): pytest.approx(w, abs=1e-8) for x, z, w in p if w > 1e-8} for k, p in want.items()} == {k: {(x, z): w for x, z, w in p if w > 1e-8} for k, p in got.items()}
+        assert sorted(map(str, eye.counted(frame, s, hits, width).collect())) == sorted(map(str, eye.counters(segs, S).collect()))
 
 
 def test_drawing_makes_no_segments(spark):
