@@ -50,3 +50,29 @@ def test_awkward_rows(spark):
     assert got == [(1, 1, 3, 0.0), (1, 2, 2, 5.0), (2, 1, 1, 5.0), (2, 2, 3, 5.0), (3, 1, 1, 0.0), (3, 2, 2, 5.0)]
     assert topk.nearest(table(spark, [])).count() == 0
     assert topk.nearest(table(spark, [(1, [1.0])])).count() == 0
+
+
+def test_few_pairs_are_measured_exactly(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (2048, 32))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    tree, handed, merge = topk.build(np.arange(len(x)), x), [], topk._merge
+    monkeypatch.setattr(topk, "_merge", lambda row, *rest: (handed.append(len(row)), merge(row, *rest)))
+    d, i = np.full((256, 10), np.inf), np.full((256, 10), topk._NONE)
+    computed = topk.search(tree, np.arange(256), x[:256], d, i)
+    assert sum(handed) < 0.05 * computed
+
+
+@pytest.mark.parametrize("scale", [1e-25, 1.0, 1e18])
+def test_single_precision_loses_no_neighbour(scale):
+    rng = np.random.default_rng(5)
+    x = ((1000 + rng.normal(0, 1e-3, (600, 16))) * scale).astype(np.float32).astype(np.float64)  # nearer than products in single precision can tell
+    x[100:140] = x[100]
+    ids = rng.permutation(len(x))
+    tree = topk.build(ids, x)
+    d, i = np.full((len(x), 10), np.inf), np.full((len(x), 10), topk._NONE)
+    topk.search(tree, ids, x, d, i)
+    full = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    full[np.arange(len(x)), np.arange(len(x))] = np.inf
+    want = np.array([ids[np.lexsort((ids, row))[:10]] for row in full])
+    assert (i == want).all()
